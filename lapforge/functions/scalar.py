@@ -38,9 +38,28 @@ def lap_text(duration_ns: Column) -> Column:
     return F.when(duration_ns.isNotNull(), F.concat(clock, F.when(rest != 0, tenth).otherwise("")))
 
 
+def _nearest_step(value: Column, scaled: list[int]) -> Column:
+    """Whole number nearest to value * sum(scaled), ties to even, decided on the exact product.
+
+    Multiplying by 10 or 100 already rounds and can create a tie that is none (21.95 is below its
+    own decimal text). Products with powers of two are exact, and so are the differences below, as
+    their terms lie within a factor of two of each other.
+    """
+    floor = F.floor(value * sum(scaled))
+    rest = value * scaled[0] - (floor + F.lit(0.5))
+    for factor in scaled[1:]:
+        rest = rest + value * factor
+    return floor + F.when(rest > 0, 1).when(rest == 0, F.pmod(floor, F.lit(2))).otherwise(0)
+
+
+def round_cents(value: Column) -> Column:
+    """Two decimals the way a correctly rounded decimal conversion gives them; for values >= 0."""
+    return _nearest_step(value, [64, 32, 4]) / F.lit(100.0)
+
+
 def frame_seconds(frame: Column, fps: Column) -> Column:
     """Frame time to two decimals, ties to even; the frame rate is cut to an integer first."""
-    return F.bround(frame / fps.cast("int"), 2)
+    return round_cents(frame / fps.cast("int"))
 
 
 def distance_text(distance: Column, has_curb: Column) -> Column:
@@ -59,11 +78,16 @@ def parse_distance(text: Column) -> Column:
 
 
 def one_decimal(value: Column) -> Column:
-    return F.format_string("%.1f", value)
+    """One decimal, correctly rounded; Java's own formatting rounds the decimal text half up."""
+    value = value.cast("double")
+    tenths = _nearest_step(F.abs(value), [8, 2])
+    sign = F.when(value < 0, "-").otherwise("")
+    text = F.format_string("%s%d.%d", sign, F.floor(tenths / 10), tenths % 10)
+    return F.when(value.isNotNull(), text)
 
 
 def percent_text(value: Column) -> Column:
-    return F.format_string("%.1f%%", value)
+    return F.concat(one_decimal(value), F.lit("%"))
 
 
 def thousands(value: Column) -> Column:

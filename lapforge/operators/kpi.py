@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapforge.functions import geometry as G
-from lapforge.functions.scalar import lap_text
+from lapforge.functions.scalar import lap_text, round_cents
 from lapforge.operators.features import pedal_overlap
 from lapforge.operators.ordered import join_summary
 from lapforge.schema import DRIVER_KEYS, SESSION_KEYS
@@ -66,7 +66,7 @@ def driver_kpis(df: DataFrame, keys: list[str] = DRIVER_KEYS) -> DataFrame:
 
 
 def mistake_rate(mistakes: Column, total: Column) -> Column:
-    return F.when(total > 0, F.bround(mistakes / total * 100, 2)).otherwise(F.lit(0.0))
+    return F.when(total > 0, round_cents(mistakes / total * 100)).otherwise(F.lit(0.0))
 
 
 def mistake_summary(annotated: DataFrame, keys: list[str] = DRIVER_KEYS) -> DataFrame:
