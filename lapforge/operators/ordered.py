@@ -27,18 +27,25 @@ MAX_GROUP_ROWS = 4_000_000
 SEGMENT = "_segment"
 
 
-def largest_group(df: DataFrame, keys: list[str], limit: int) -> tuple[int, int]:
-    """(total rows, rows of the biggest group). Groups are only counted if the total may matter."""
-    total = df.count()
-    if total <= limit or not keys:
-        return total, total
-    biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return total, biggest or 0
+_measured: dict[tuple, tuple[int, int]] = {}
+
 
+def largest_group(df: DataFrame, keys: list[str], limit: int) -> tuple[int, int]:
+    """(total rows, rows of the biggest group). Groups are only counted if the total may matter.
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """NULL-safe equality on every key."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+    Sizes are remembered per plan. A stale size can pick the slower layout, never a wrong result.
+    """
+    plan = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), limit)
+    if plan not in _measured:
+        total = df.count()
+        biggest = total
+        if total > limit and keys:
+            # counts are combined before the shuffle, so a hot key costs no more than any other
+            biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if len(_measured) > 1000:
+            _measured.clear()
+        _measured[plan] = (total, biggest)
+    return _measured[plan]
 
 
 def join_summary(rows: DataFrame, summary: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "sessions", "video")
+MODULES = ("cleaning", "sessions", "video", "lake")
 
 
 def load_all():

@@ -50,33 +50,34 @@ def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": batch["path"], "schema_text": schemas})
 
 
-def schema_groups(spark: SparkSession, path: str) -> list[list[str]]:
+def schema_groups(files: DataFrame) -> list[list[str]]:
     """Files grouped by identical schema.
 
     The footers are read by the executors. The driver receives one path per file, which is no more
     than the file index Spark itself keeps for the scan.
     """
-    files = list_files(spark, path)
-    spread = files.repartition(spark.sparkContext.defaultParallelism, "path")
+    spread = files.repartition(files.sparkSession.sparkContext.defaultParallelism, "path")
     grouped: dict[str, list[str]] = {}
-    for row in spread.mapInPandas(_footers, "path string, schema_text string").toLocalIterator():
+    for row in spread.mapInPandas(_footers, "path string, schema_text string").collect():
         grouped.setdefault(row["schema_text"], []).append(row["path"])
     return [sorted(paths) for _, paths in sorted(grouped.items())]
 
 
-def read_sessions(spark: SparkSession, path: str, fill_channels: bool = True,
+def read_sessions(spark: SparkSession, source: str | DataFrame, fill_channels: bool = True,
                   landing: bool = False) -> DataFrame:
     """All session files as one table with ``session_file`` and the files' own row order.
 
     Absent columns are repaired per file, which a merged read could not do: it shows an absent
-    column and an all-NULL column alike. ``path`` may hold wildcards (``lake/2024_*`` for a year).
+    column and an all-NULL column alike. ``source`` is a file listing or a path, which may hold
+    wildcards (``lake/2024_*`` for a year).
     ``landing`` limits the read to the columns an ingested session keeps. Synthesized times count
     the rows of one file, as a session is stored in one file where they are missing.
     """
     # pandas stores instants in nanoseconds, which the reader only accepts as plain numbers
     spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    files = list_files(spark, source) if isinstance(source, str) else source.select("path")
     parts = []
-    for paths in schema_groups(spark, path):
+    for paths in schema_groups(files):
         raw = spark.read.parquet(*paths)
         origin = {
             "session_file": session_stem(F.col("_metadata.file_path")),
@@ -85,10 +86,10 @@ def read_sessions(spark: SparkSession, path: str, fill_channels: bool = True,
         }
         rows = raw.withColumns(origin)
         if landing:
-            rows = rows.select(*keep_existing(rows).columns, *origin)
+            rows = rows.select(*keep_existing(rows).columns, *list(origin))
         parts.append(with_session_keys(repair_columns(conform(rows), "row_index", fill_channels)))
     if not parts:
-        raise FileNotFoundError(f"no session files in {path}")
+        raise FileNotFoundError(f"no session files in {source}")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
