@@ -42,7 +42,8 @@ def numeric_columns(df: DataFrame, leave: list[str]) -> list[str]:
 
 
 def forward_fill(df: DataFrame, file_keys: list[str], order: list[str], scope: str = "file",
-                 columns: list[str] | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                 columns: list[str] | None = None, max_group_rows: int = MAX_GROUP_ROWS,
+                 measured_on: DataFrame | None = None) -> DataFrame:
     """Fill gaps with the last known value in physical row order.
 
     ``scope="file"`` fills across the whole file, drivers included; ``scope="driver"`` stops at
@@ -53,16 +54,17 @@ def forward_fill(df: DataFrame, file_keys: list[str], order: list[str], scope: s
     keys = file_keys if scope == "file" else file_keys + ["Driver"]
     columns = columns or numeric_columns(df, leave=file_keys + order)
     if order == FILE_ORDER:
-        timeline = Timeline.by_file_position(df, keys, *order, max_group_rows)
+        timeline = Timeline.by_file_position(df, keys, *order, max_group_rows, measured_on)
     else:
-        timeline = Timeline.of(df, keys, order, max_group_rows)
+        timeline = Timeline.of(df, keys, order, max_group_rows, measured_on)
     return timeline.carry({c: F.col(c) for c in columns}).result()
 
 
 def clean(df: DataFrame, file_keys: list[str], order: list[str], scope: str = "file",
           columns: list[str] | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """The cleaning chain on repaired rows: drop, fill, clip, downcast."""
-    filled = forward_fill(drop_dead_packets(df), file_keys, order, scope, columns, max_group_rows)
+    # the raw rows are counted from the file footers, the remaining ones would take a scan
+    filled = forward_fill(drop_dead_packets(df), file_keys, order, scope, columns, max_group_rows, df)
     return downcast(clip_outliers(filled))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lapforge.session import cut_lineage
 
 MAX_GROUP_ROWS = 4_000_000
-SEGMENT = "_segment"
+CELL = "_cell"
 
 
 _measured: dict[tuple, tuple[int, int]] = {}
@@ -76,9 +76,18 @@ def order_key(columns: list[str]) -> Column:
     return F.struct(*parts)
 
 
+def cell(keys: list[str], segment: Column) -> Column:
+    return F.struct(*keys, segment.alias("segment"))
+
+
 @dataclass(frozen=True)
 class Timeline:
-    """Rows grouped by ``keys`` and totally ordered by ``order`` inside each group."""
+    """Rows grouped by ``keys`` and totally ordered by ``order`` inside each group.
+
+    In the segmented layout every row carries its cell, a struct of its keys and its segment. As one
+    column it is NULL-safe under plain equality, so the window, the summary and the join with the
+    summary all use the same hash partitioning and the rows move once.
+    """
 
     rows: DataFrame
     keys: list[str]
@@ -86,43 +95,45 @@ class Timeline:
     segmented: bool = False
 
     @classmethod
-    def of(cls, df: DataFrame, keys: list[str], order: list[str],
-           max_group_rows: int = MAX_GROUP_ROWS) -> "Timeline":
-        total, biggest = largest_group(df, keys, max_group_rows)
+    def of(cls, df: DataFrame, keys: list[str], order: list[str], max_group_rows: int = MAX_GROUP_ROWS,
+           measured_on: DataFrame | None = None) -> "Timeline":
+        """``measured_on`` may name a cheaper input whose groups are at least as large."""
+        total, biggest = largest_group(df if measured_on is None else measured_on, keys, max_group_rows)
         if biggest <= max_group_rows:
             return cls(df, keys, order)
         parts = max(2, math.ceil(total / max_group_rows))
         ranged = df.repartitionByRange(parts, *ordering(keys), *ordering(order))
         # the partition id is only stable once it is written down
-        stamped = cut_lineage(ranged.withColumn(SEGMENT, F.spark_partition_id()))
-        return cls(stamped, keys, order, True)
+        return cls(cut_lineage(ranged.withColumn(CELL, cell(keys, F.spark_partition_id()))), keys, order, True)
 
     @classmethod
     def by_file_position(cls, df: DataFrame, keys: list[str], part: str, position: str,
-                         max_group_rows: int = MAX_GROUP_ROWS) -> "Timeline":
+                         max_group_rows: int = MAX_GROUP_ROWS,
+                         measured_on: DataFrame | None = None) -> "Timeline":
         """Rows in file order: ``part`` names the file, ``position`` is the row's place in it.
 
         The place is dense, so the segment is arithmetic: nothing is sampled and nothing written.
         """
-        _, biggest = largest_group(df, keys, max_group_rows)
+        _, biggest = largest_group(df if measured_on is None else measured_on, keys, max_group_rows)
         if biggest <= max_group_rows:
             return cls(df, keys, [part, position])
         block = F.floor(F.col(position) / F.lit(max_group_rows))
         segment = F.struct(F.col(part).alias("part"), block.alias("block"))
-        return cls(df.withColumn(SEGMENT, segment), keys, [part, position], True)
-
-    @property
-    def cells(self) -> list[str]:
-        return self.keys + [SEGMENT] if self.segmented else self.keys
+        return cls(df.withColumn(CELL, cell(keys, segment)), keys, [part, position], True)
 
     def window(self, descending: bool = False):
-        return Window.partitionBy(*self.cells).orderBy(*ordering(self.order, descending))
+        cells = [CELL] if self.segmented else self.keys
+        return Window.partitionBy(*cells).orderBy(*ordering(self.order, descending))
+
+    def summary_window(self):
+        """Groups of a per-cell summary: one row per segment, so even a huge group stays small."""
+        return Window.partitionBy(*[F.col(f"{CELL}.{k}") for k in self.keys])
 
     def replace(self, rows: DataFrame) -> "Timeline":
         return Timeline(rows, self.keys, self.order, self.segmented)
 
     def result(self) -> DataFrame:
-        return self.rows.drop(SEGMENT) if self.segmented else self.rows
+        return self.rows.drop(CELL) if self.segmented else self.rows
 
     # -- carries -------------------------------------------------------------------------------
 
@@ -133,16 +144,16 @@ class Timeline:
             return self.rows.withColumns(local)
         latest = F.min_by if descending else F.max_by
         key = order_key(self.order)
-        summary = self.rows.groupBy(*self.cells).agg(*[
+        summary = self.rows.groupBy(CELL).agg(*[
             latest(box, F.when(box.isNotNull(), key)).alias(f"_c_{out}") for out, box in boxed.items()
         ])
-        by_segment = F.col(SEGMENT).desc() if descending else F.col(SEGMENT).asc()
-        earlier = Window.partitionBy(*self.keys).orderBy(by_segment).rowsBetween(
+        segment = F.col(f"{CELL}.segment")
+        earlier = self.summary_window().orderBy(segment.desc() if descending else segment.asc()).rowsBetween(
             Window.unboundedPreceding, -1)
-        carried = summary.select(*self.cells, *[
+        carried = summary.select(CELL, *[
             F.last(f"_c_{out}", ignorenulls=True).over(earlier).alias(f"_c_{out}") for out in boxed
         ])
-        joined = join_summary(self.rows.withColumns(local), carried, self.cells)
+        joined = self.rows.withColumns(local).join(carried, CELL, "left")
         return joined.withColumns({
             out: F.coalesce(F.col(out), F.col(f"_c_{out}")) for out in boxed
         }).drop(*[f"_c_{out}" for out in boxed])
@@ -173,14 +184,12 @@ class Timeline:
                 position: local,
                 size: F.count(F.lit(1)).over(Window.partitionBy(*self.keys)),
             }))
-        per_segment = self.rows.groupBy(*self.cells).agg(F.count(F.lit(1)).alias("_n"))
-        group = Window.partitionBy(*self.keys)
-        before = group.orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+        per_segment = self.rows.groupBy(CELL).agg(F.count(F.lit(1)).alias("_n"))
+        group = self.summary_window()
+        before = group.orderBy(F.col(f"{CELL}.segment")).rowsBetween(Window.unboundedPreceding, -1)
         offsets = per_segment.select(
-            *self.cells,
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-            F.sum("_n").over(group).alias(size),
-        )
-        joined = join_summary(self.rows.withColumn(position, local), offsets, self.cells)
+            CELL, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+            F.sum("_n").over(group).alias(size))
+        joined = self.rows.withColumn(position, local).join(offsets, CELL, "left")
         return self.replace(
             joined.withColumn(position, F.col(position) + F.col("_offset")).drop("_offset"))

@@ -9,7 +9,7 @@ from lapforge.operators import clean as C
 from lapforge.operators.features import engineer_features
 from lapforge.operators.kpi import choose_time, session_time
 from lapforge.operators.sampling import downsample
-from lapforge.queries.registry import query
+from lapforge.queries.registry import ORACLES, query
 from lapforge.queries.views import CLEAN, FEATURES, ORDER, SESSION, TELEMETRY, telemetry
 from lapforge.schema import (
     CHART_CHANNELS, CORE_CHANNELS, DRIVER_KEYS, EXPECTED_COLUMNS, FEATURE_COLUMNS, REQUIRED_COLUMNS, repair_columns,
@@ -68,6 +68,13 @@ def fill_file(spark, sf_dir):
         *DRIVER_KEYS, "SessionTime", *CORE_CHANNELS)
 
 
+@query("p4_forward_fill_segmented", ORACLES["p4_forward_fill"])
+def fill_file_segmented(spark, sf_dir):
+    """The layout for sessions too large for one task, forced by a low row limit."""
+    return C.forward_fill(telemetry(spark, sf_dir), SESSION, ORDER, columns=GAPPY, max_group_rows=4000).select(
+        *DRIVER_KEYS, "SessionTime", *CORE_CHANNELS)
+
+
 @query("p4_forward_fill_per_driver", "WITH " + TELEMETRY + """
 SELECT Year, Round, Session, Driver, SessionTime, last_value(Speed IGNORE NULLS) OVER w AS Speed,
        last_value(RPM IGNORE NULLS) OVER w AS RPM, last_value(X IGNORE NULLS) OVER w AS X,
@@ -132,6 +139,12 @@ def features(spark, sf_dir):
         *DRIVER_KEYS, "SessionTime", *FEATURE_COLUMNS)
 
 
+@query("p11_p13_features_segmented", ORACLES["p11_p13_features"])
+def features_segmented(spark, sf_dir):
+    cut = engineer_features(cleaned(spark, sf_dir), order=ORDER, max_group_rows=400)
+    return doubles(cut, FEATURE_COLUMNS).select(*DRIVER_KEYS, "SessionTime", *FEATURE_COLUMNS)
+
+
 @query("w1_step_sums", "WITH " + FEATURES + """
 SELECT Year, Round, Session, Driver, count(*) AS n, CAST(sum(gear_change) AS BIGINT) AS gear_steps,
        round(sum(speed_delta::DOUBLE), 3) AS speed_steps
@@ -217,6 +230,12 @@ def downsampled(spark, sf_dir):
         *DRIVER_KEYS, "SessionTime", "Speed", "X", "Y")
 
 
+@query("o3_downsample_segmented", ORACLES["o3_downsample"])
+def downsampled_segmented(spark, sf_dir):
+    return downsample(telemetry(spark, sf_dir), SESSION, ORDER, 500, max_group_rows=4000).select(
+        *DRIVER_KEYS, "SessionTime", "Speed", "X", "Y")
+
+
 @query("o3_downsample_strict", "WITH " + TELEMETRY + """, placed AS (
   SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY Year, Round, Session) AS n
   FROM telemetry WINDOW w AS (PARTITION BY Year, Round, Session ORDER BY SessionTime, tie))

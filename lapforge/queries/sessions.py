@@ -14,7 +14,7 @@ from lapforge.plans.dashboard import (
     ai_summary, driver_options, header_bar, mistake_points, score_bars, session_options, track_map,
 )
 from lapforge.queries.cleaning import cleaned, featured
-from lapforge.queries.registry import query
+from lapforge.queries.registry import ORACLES, query
 from lapforge.queries.views import (
     CLEAN, FEATURES, LAPS, ORDER, SCHEDULE, SESSION, TELEMETRY, laps, schedule, table, telemetry,
 )
@@ -212,16 +212,26 @@ SELECT p.probe, p.probe_time, t.SessionTime AS nearest_time, t.X, t.Y, t.Speed
 FROM probes p LEFT JOIN telemetry t ON p.Year = t.Year AND p.Round = t.Round AND p.Session = t.Session AND p.Driver = t.Driver
 QUALIFY row_number() OVER (PARTITION BY p.probe ORDER BY abs(t.SessionTime - p.probe_time), t.tie) = 1""")
 def nearest(spark, sf_dir):
+    return nearest_positions(spark, sf_dir)
+
+
+def nearest_positions(spark, sf_dir, **limits) -> DataFrame:
     probes = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as probe", "case o_orderstatus when 'F' then 2023 else 2024 end as Year",
         "cast(1 + o_custkey % 3 as int) as Round", "case o_orderstatus when 'F' then 'Q' else 'R' end as Session",
         "cast(o_custkey % 20 as string) as Driver",
         "(o_orderkey * 7919 % 130000) * 100000000 + 12345 as probe_time")
     return L.nearest_in_time(probes, telemetry(spark, sf_dir), DRIVER_KEYS, "probe_time", "SessionTime",
-                             ["X", "Y", "Speed"], ["tie"]).select(
+                             ["X", "Y", "Speed"], ["tie"], **limits).select(
         "probe", "probe_time", "nearest_time", "X", "Y", "Speed")
 
 
+@query("j4_nearest_in_time_segmented", ORACLES["j4_nearest_in_time"])
+def nearest_segmented(spark, sf_dir):
+    """The layout for drivers too large for one task, forced by a low row limit."""
+    return nearest_positions(spark, sf_dir, max_group_rows=400)
+
+
 @query("j7_attach_outputs", "WITH " + META + """
 SELECT t.Year, t.Round, t.Session, t.Driver, t.n, m.total_mistakes, m.mistake_rate_pct,
        concat(t.Year, '_', t.Round, '_', t.Session, '_', t.Driver, '_mistakes') AS output_stem

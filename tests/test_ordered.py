@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lapforge.operators import clean as C
 from lapforge.operators.features import engineer_features
 from lapforge.operators.lookup import nearest_in_time
-from lapforge.operators.ordered import SEGMENT, Timeline
+from lapforge.operators.ordered import CELL, Timeline
 from lapforge.operators.quantiles import exact_percentiles
 from lapforge.operators.sampling import downsample, select_frames
 from lapforge.queries import views
@@ -37,13 +37,13 @@ def test_carry_and_previous(spark, limit):
         return line.previous({"before": F.col("v"), "step": F.col("w")}).positions().result()
 
     segmented = build(limit)
-    assert SEGMENT not in segmented.columns
+    assert CELL not in segmented.columns
     assert rows_of(segmented) == rows_of(build(10**6).select(*segmented.columns))
 
 
 def test_no_segment_gets_much_more_than_its_share(spark):
     line = Timeline.of(skewed(spark), ["k"], ["t", "tie"], 300)
-    biggest = line.rows.groupBy(SEGMENT).count().agg(F.max("count")).first()[0]
+    biggest = line.rows.groupBy(f"{CELL}.segment").count().agg(F.max("count")).first()[0]
     assert biggest < 2 * 300
 
 
