@@ -268,7 +268,7 @@ FROM train GROUP BY ALL""")
 def training_rows(spark, sf_dir):
     from lapforge.operators.iforest import MODEL, training_rows as build
     refs = K.reference_drivers(cleaned(spark, sf_dir))
-    return build(featured(spark, sf_dir), refs).groupBy(*MODEL, "role").agg(
+    return build(featured(spark, sf_dir), refs, ORDER).groupBy(*MODEL, "role").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.sum(F.col("speed_normalized").cast("double")), 4).alias("speed_sum"),
         F.round(F.sum(F.col("brake_intensity").cast("double")), 4).alias("brake_sum"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "lapforge", cpus: str | int = "*", shuffle_partitions: int = 8,
@@ -33,13 +33,10 @@ def scratch_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        context_dir = spark.sparkContext.getCheckpointDir()
-        if context_dir:
-            # the context appends a unique folder to what it was given
-            return os.path.dirname(context_dir)
-        root = tempfile.mkdtemp(prefix="lapforge-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+        given = spark.sparkContext.getCheckpointDir()
+        # the context appends a unique folder to what it was given
+        root = os.path.dirname(given) if given else tempfile.mkdtemp(prefix="lapforge-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
@@ -48,7 +45,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
-    """Reliable checkpoint: survives the loss of any executor."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint()
+def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write an intermediate table below the shared scratch folder and read it back.
+
+    The table survives the loss of any executor, and unlike an RDD checkpoint it can be read column
+    by column and has a known size, which the join planning of the next step needs.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
