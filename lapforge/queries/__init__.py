@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "sessions", "video", "lake")
+MODULES = ("cleaning", "sessions", "video", "lake", "circuit")
 
 
 def load_all():
