@@ -136,7 +136,7 @@ def contamination_choice(spark, sf_dir):
 
 
 @query("m3_exact_percentiles", """
-SELECT l_returnflag AS model, c.v AS share, quantile_cont(l_extendedprice, c.v) AS quantile
+SELECT l_returnflag AS model, c.v AS share, round(quantile_cont(l_extendedprice, c.v), 6) AS quantile
 FROM lineitem, (VALUES (0.05::DOUBLE), (0.08), (0.1), (0.12), (0.15), (0.2)) AS c(v)
 GROUP BY l_returnflag, c.v""".replace("quantile_cont(l_extendedprice, c.v)", """
        CASE c.v WHEN 0.05 THEN quantile_cont(l_extendedprice, 0.05) WHEN 0.08 THEN quantile_cont(l_extendedprice, 0.08)
@@ -146,7 +146,8 @@ def percentiles(spark, sf_dir):
     from lapforge.config import CONTAMINATIONS
     from lapforge.operators.quantiles import exact_percentiles
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("model"), "l_extendedprice")
-    return exact_percentiles(rows, ["model"], "l_extendedprice", CONTAMINATIONS, 0.0, 110_000.0)
+    return exact_percentiles(rows, ["model"], "l_extendedprice", CONTAMINATIONS, 0.0, 110_000.0).withColumn(
+        "quantile", F.round("quantile", 6))
 
 
 @query("a16_header_bar", "WITH " + META + ", " + LAPS + ", " + DRIVERS + """, fastest AS (
@@ -233,14 +234,14 @@ def nearest_segmented(spark, sf_dir):
 
 
 @query("j7_attach_outputs", "WITH " + META + """
-SELECT t.Year, t.Round, t.Session, t.Driver, t.n, m.total_mistakes, m.mistake_rate_pct,
+SELECT t.Year, t.Round, t.Session, t.Driver, t.n, CAST(m.total_mistakes AS DOUBLE) AS total_mistakes, m.mistake_rate_pct,
        concat(t.Year, '_', t.Round, '_', t.Session, '_', t.Driver, '_mistakes') AS output_stem
 FROM (SELECT Year, Round, Session, Driver, count(*) AS n FROM telemetry GROUP BY ALL) t
 LEFT JOIN (SELECT * FROM meta WHERE Driver <> '5') m USING (Year, Round, Session, Driver)""")
 def attach_outputs(spark, sf_dir):
     chosen = telemetry(spark, sf_dir).groupBy(*DRIVER_KEYS).agg(F.count(F.lit(1)).alias("n"))
     stored = run_meta(spark, sf_dir).where("Driver <> '5'").select(
-        *DRIVER_KEYS, "total_mistakes", "mistake_rate_pct")
+        *DRIVER_KEYS, F.col("total_mistakes").cast("double").alias("total_mistakes"), "mistake_rate_pct")
     stem = F.concat_ws("_", F.col("Year").cast("string"), F.col("Round").cast("string"), "Session")
     return L.attach_outputs(chosen, stored).withColumn("output_stem", L.output_stem(stem, F.col("Driver")))
 

@@ -89,12 +89,12 @@ def nearest_metrics(spark, sf_dir):
 @query("j6_pair_metrics", "WITH " + CV_METRICS + """, files AS (
   SELECT concat(video, '_metrics.csv') AS metrics_name, count(*) AS frames FROM cv_metrics WHERE video <> 'video_3' GROUP BY video
 ), videos AS (SELECT DISTINCT concat('video_', user_id % 10, '_HUD.mp4') AS video_name FROM events)
-SELECT v.video_name, regexp_replace(v.video_name, '_HUD\\.mp4$', '_metrics.csv') AS metrics_name, f.frames
+SELECT v.video_name, regexp_replace(v.video_name, '_HUD\\.mp4$', '_metrics.csv') AS metrics_name, CAST(f.frames AS DOUBLE) AS frames
 FROM videos v LEFT JOIN files f ON f.metrics_name = regexp_replace(v.video_name, '_HUD\\.mp4$', '_metrics.csv')""")
 def pairs(spark, sf_dir):
     rows = cv_metrics(spark, sf_dir)
     files = rows.where("video <> 'video_3'").groupBy("video").agg(F.count(F.lit(1)).alias("frames")).select(
-        F.concat("video", F.lit("_metrics.csv")).alias("metrics_name"), "frames")
+        F.concat("video", F.lit("_metrics.csv")).alias("metrics_name"), F.col("frames").cast("double").alias("frames"))
     videos = rows.select(F.concat("video", F.lit("_HUD.mp4")).alias("video_name")).distinct()
     return L.pair_metrics(videos, files)
 
@@ -165,13 +165,13 @@ REDUCED = CURBS + """, reduced AS (
 
 
 @query("c5_c9_frame_metrics", "WITH " + REDUCED + """
-SELECT video, frame_number, timestamp_sec, distance_px, status, has_curb, turn_direction, x AS closest_x FROM frame_rows""")
+SELECT video, frame_number, timestamp_sec, distance_px, status, has_curb, turn_direction, CAST(x AS DOUBLE) AS closest_x FROM frame_rows""")
 def frame_metrics(spark, sf_dir):
     found = detections(spark, sf_dir)
     listing = found.select("video", "frame_number").distinct().withColumn("fps", F.lit(30.0))
     return R.frame_metrics(listing, found).select(
         "video", "frame_number", "timestamp_sec", "distance_px", "status", "has_curb", "turn_direction",
-        F.col("closest_point.x").alias("closest_x"))
+        F.col("closest_point.x").cast("double").alias("closest_x"))
 
 
 @query("c7_apex_status", "WITH " + CV_STATUS + " SELECT video, frame_number, status FROM cv")
