@@ -54,9 +54,9 @@ def contour_area(contour: Column) -> Column:
     return F.abs(moments(contour)["area2"]) / 2
 
 
-def centroid_x(contour: Column) -> Column:
-    """Integer part of the polygon's centroid x; NULL for a contour without area."""
-    m = moments(contour)
+def centroid_x(contour_moments: Column) -> Column:
+    """Integer part of the polygon's centroid x from its moments; NULL for a contour without area."""
+    m = contour_moments
     return F.when(m["area2"] != 0, (m["moment6"] / (m["area2"] * 3)).cast("int"))
 
 

@@ -22,7 +22,8 @@ def measure_curbs(detections: DataFrame, settings: Settings = DEFAULTS) -> DataF
     left, right = G.wheel_positions(F.col("width"), F.col("height"), settings)
     sided = detections.where(F.col("class_id") == CURB_CLASS).withColumn(
         "contour", G.largest_contour(F.col("contours"))
-    ).withColumn("cx", G.centroid_x(F.col("contour")))
+    ).withColumn("_moments", G.moments(F.col("contour"))  # kept as a column: computed once
+    ).withColumn("cx", G.centroid_x(F.col("_moments"))).drop("_moments")
     is_right = F.col("cx") > F.expr("width div 2")
     return sided.withColumns({
         "turn": F.when(F.col("cx").isNotNull(), F.when(is_right, "Right").otherwise("Left")),

@@ -86,13 +86,15 @@ class Timeline:
 
     In the segmented layout every row carries its cell, a struct of its keys and its segment. As one
     column it is NULL-safe under plain equality, so the window, the summary and the join with the
-    summary all use the same hash partitioning and the rows move once.
+    summary all use the same hash partitioning and the rows move once. Values that are carried may
+    only use columns the timeline was built with.
     """
 
     rows: DataFrame
     keys: list[str]
     order: list[str]
     segmented: bool = False
+    base: DataFrame | None = None  # rows as laid out; summaries read these, not what was added since
 
     @classmethod
     def of(cls, df: DataFrame, keys: list[str], order: list[str], max_group_rows: int = MAX_GROUP_ROWS,
@@ -104,7 +106,8 @@ class Timeline:
         parts = max(2, math.ceil(total / max_group_rows))
         ranged = df.repartitionByRange(parts, *ordering(keys), *ordering(order))
         # the partition id is only stable once it is written down
-        return cls(cut_lineage(ranged.withColumn(CELL, cell(keys, F.spark_partition_id()))), keys, order, True)
+        stamped = cut_lineage(ranged.withColumn(CELL, cell(keys, F.spark_partition_id())), "timeline")
+        return cls(stamped, keys, order, True, stamped)
 
     @classmethod
     def by_file_position(cls, df: DataFrame, keys: list[str], part: str, position: str,
@@ -119,7 +122,8 @@ class Timeline:
             return cls(df, keys, [part, position])
         block = F.floor(F.col(position) / F.lit(max_group_rows))
         segment = F.struct(F.col(part).alias("part"), block.alias("block"))
-        return cls(df.withColumn(CELL, cell(keys, segment)), keys, [part, position], True)
+        stamped = df.withColumn(CELL, cell(keys, segment))
+        return cls(stamped, keys, [part, position], True, stamped)
 
     def window(self, descending: bool = False):
         cells = [CELL] if self.segmented else self.keys
@@ -130,7 +134,7 @@ class Timeline:
         return Window.partitionBy(*[F.col(f"{CELL}.{k}") for k in self.keys])
 
     def replace(self, rows: DataFrame) -> "Timeline":
-        return Timeline(rows, self.keys, self.order, self.segmented)
+        return Timeline(rows, self.keys, self.order, self.segmented, self.base)
 
     def result(self) -> DataFrame:
         return self.rows.drop(CELL) if self.segmented else self.rows
@@ -144,7 +148,7 @@ class Timeline:
             return self.rows.withColumns(local)
         latest = F.min_by if descending else F.max_by
         key = order_key(self.order)
-        summary = self.rows.groupBy(CELL).agg(*[
+        summary = self.base.groupBy(CELL).agg(*[
             latest(box, F.when(box.isNotNull(), key)).alias(f"_c_{out}") for out, box in boxed.items()
         ])
         segment = F.col(f"{CELL}.segment")
@@ -184,7 +188,7 @@ class Timeline:
                 position: local,
                 size: F.count(F.lit(1)).over(Window.partitionBy(*self.keys)),
             }))
-        per_segment = self.rows.groupBy(CELL).agg(F.count(F.lit(1)).alias("_n"))
+        per_segment = self.base.groupBy(CELL).agg(F.count(F.lit(1)).alias("_n"))
         group = self.summary_window()
         before = group.orderBy(F.col(f"{CELL}.segment")).rowsBetween(Window.unboundedPreceding, -1)
         offsets = per_segment.select(

@@ -32,12 +32,13 @@ def scratch_root(spark: SparkSession) -> str:
     Only a session that names none (a local test) gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        given = spark.sparkContext.getCheckpointDir()
-        # the context appends a unique folder to what it was given
-        root = os.path.dirname(given) if given else tempfile.mkdtemp(prefix="lapforge-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lapforge-"))
+    # the context appends a unique folder to what it was given
+    return os.path.dirname(context.getCheckpointDir())
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

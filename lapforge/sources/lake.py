@@ -48,8 +48,10 @@ def read_meta(spark: SparkSession, path: str) -> DataFrame | None:
 
 def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Frame metrics as CSV with header, one folder per video."""
+    # range partitioning keeps the files per video few and cuts a long video into several
     (metrics.withColumn("has_curb", F.initcap(F.col("has_curb").cast("string")))
-     .select("video", *METRIC_COLUMNS).write.mode(mode).option("header", True)
+     .select("video", *METRIC_COLUMNS).repartitionByRange("video", "frame_number")
+     .sortWithinPartitions("video", "frame_number").write.mode(mode).option("header", True)
      .partitionBy("video").csv(path))
 
 

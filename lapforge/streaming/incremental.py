@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lapforge.operators.clean import clean
 from lapforge.schema import FILE_ORDER
 from lapforge.sources.lake import write_sessions
-from lapforge.sources.telemetry import FILE_KEYS, read_sessions
+from lapforge.sources.telemetry import FILE_KEYS, list_files, read_sessions, session_stem
 
 
 def clean_new_files(spark: SparkSession, landing: str, lake: str, ledger: str, scope: str = "file") -> int:
     """Clean what has landed since the last run into ``lake``; returns the number of batches.
 
     The stream carries file names only. Its checkpoint (``ledger``) is the list of files done, so a
-    second run without new files adds no batch. A session is written by replacing its own
-    partition, which makes the replay of a batch harmless. A session's files have to land together.
+    second run without new files adds no batch. A session is cleaned as a whole, with all of its
+    files that have landed, and replaces its own partition: replaying a batch is harmless, and a
+    late part file of a session completes it.
     """
     files = (spark.readStream.format("binaryFile").schema(
         "path string, modificationTime timestamp, length bigint, content binary")
@@ -23,12 +25,13 @@ def clean_new_files(spark: SparkSession, landing: str, lake: str, ledger: str, s
         .select("path", "length"))
 
     def run(batch: DataFrame, _batch_id: int) -> None:
-        nonempty = batch.where("length > 0")
-        if nonempty.isEmpty():
+        touched = batch.where("length > 0").select(session_stem(F.col("path")).alias(FILE_KEYS[0])).distinct()
+        if touched.isEmpty():
             return
-        raw = read_sessions(batch.sparkSession, nonempty, landing=True)
-        cleaned = clean(raw, FILE_KEYS, FILE_ORDER, scope)
-        write_sessions(cleaned, lake, ["SessionTime", *FILE_ORDER])
+        session = batch.sparkSession
+        landed = list_files(session, landing).withColumn(FILE_KEYS[0], session_stem(F.col("path")))
+        raw = read_sessions(session, landed.join(touched, FILE_KEYS, "left_semi"), landing=True)
+        write_sessions(clean(raw, FILE_KEYS, FILE_ORDER, scope), lake, ["SessionTime", *FILE_ORDER])
 
     stream = (files.writeStream.foreachBatch(run).option("checkpointLocation", ledger)
               .trigger(availableNow=True).start())

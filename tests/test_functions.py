@@ -91,7 +91,7 @@ def test_area_centroid_largest(spark):
     df = spark.createDataFrame([([line, square, far],), ([line],), ([],), (None,)],
                                "contours array<array<struct<x:int,y:int>>>")
     rows = df.select(G.largest_contour(F.col("contours")).alias("c")).select(
-        "c", G.contour_area(F.col("c")).alias("a"), G.centroid_x(F.col("c")).alias("x")).collect()
+        "c", G.contour_area(F.col("c")).alias("a"), G.centroid_x(G.moments(F.col("c"))).alias("x")).collect()
     assert [(r.a, r.x) for r in rows] == [(100.0, 5), (0.0, None), (None, None), (None, None)]
     assert [tuple(p) for p in rows[0].c] == square  # the first of equals
 

@@ -84,6 +84,22 @@ def test_stream_processes_each_file_once(spark, landing, tmp_path):
     assert io.read_lake(spark, lake).count() == 234
 
 
+def test_late_part_file_completes_its_session(spark, tmp_path):
+    folder = tmp_path / "landing" / "session_file=2024_9_Q"
+    folder.mkdir(parents=True)
+    lake, ledger = str(tmp_path / "lake"), str(tmp_path / "ledger")
+    session(10).to_parquet(folder / "part-00000.parquet")
+    clean_new_files(spark, str(tmp_path / "landing"), lake, ledger)
+    later = session(10)
+    later.loc[0, "Speed"] = None
+    later["SessionTime"] += pd.Timedelta(seconds=10)
+    later.to_parquet(folder / "part-00001.parquet")
+    assert clean_new_files(spark, str(tmp_path / "landing"), lake, ledger) == 1
+    rows = io.read_lake(spark, lake)
+    assert rows.count() == 20 and rows.where("Speed is null").count() == 0
+    assert rows.select("Year", "Round", "Session").distinct().collect() == [(2024, 9, "Q")]
+
+
 def test_partition_and_row_group_pruning(spark, landing, tmp_path):
     lake = str(tmp_path / "lake")
     clean_season(spark, landing, lake)
