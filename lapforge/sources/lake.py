@@ -11,20 +11,25 @@ from lapforge.schema import META_SCHEMA, METRIC_COLUMNS, METRICS_SCHEMA, SESSION
 MAX_FILE_ROWS = 20_000_000
 
 
-def write_sessions(df: DataFrame, path: str, order: list[str], mode: str = "overwrite") -> None:
+def write_sessions(df: DataFrame, path: str, order: list[str], mode: str = "overwrite",
+                   partitions: list[str] = SESSION_KEYS) -> None:
     """Snappy Parquet partitioned by session and sorted by driver and time inside the files.
 
-    Range partitioning on the sort columns cuts a large session into several files, where
-    hashing the session key would send all of it to one task.
+    Partitions that occur in ``df`` are replaced, others stay. Range partitioning on the sort
+    columns cuts a large session into several files, where hashing the session key would send all
+    of it to one task.
     """
-    columns = SESSION_KEYS + ["Driver"] + order
+    columns = list(dict.fromkeys([*partitions, "Driver", *order]))
     (df.repartitionByRange(*columns).sortWithinPartitions(*columns)
        .write.mode(mode).option("compression", "snappy").option("maxRecordsPerFile", MAX_FILE_ROWS)
-       .option("partitionOverwriteMode", "dynamic").partitionBy(*SESSION_KEYS).parquet(path))
+       .option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path))
 
 
 def read_lake(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A stored table. Keys that are folder names come back typed by their look: undo that."""
+    df = spark.read.parquet(path)
+    return df.withColumns({c: F.col(c).cast("string") for c in ("Session", "Driver")
+                           if c in df.columns and df.schema[c].dataType.simpleString() != "string"})
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -43,7 +48,13 @@ def write_meta(meta: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.schema(META_SCHEMA).json(path) if path_exists(spark, path) else None
+    """The latest document of every session and driver."""
+    if not path_exists(spark, path):
+        return None
+    documents = spark.read.schema(META_SCHEMA).json(path)
+    latest = documents.groupBy("session_file", "driver").agg(
+        F.max_by(F.struct(*documents.columns), F.coalesce("timestamp", F.lit(""))).alias("latest"))
+    return latest.select("latest.*")
 
 
 def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -97,13 +97,16 @@ def read_sessions(spark: SparkSession, source: str | DataFrame, fill_channels: b
 
 
 def with_session_keys(df: DataFrame) -> DataFrame:
-    """Year, Round and Session from the file stem where the file has no such columns."""
+    """Year, Round and Session from the file stem where the file has no such columns.
+
+    A stem of another form becomes the Session itself, so that every file keeps a key of its own.
+    """
     parts = stem_parts(F.col("session_file"))
     named = F.size(parts) == 3
     wanted = {
         "Year": F.when(named, parts[0].try_cast("int")),
         "Round": F.when(named, parts[1].try_cast("int")),
-        "Session": F.when(named, parts[2]),
+        "Session": F.when(named, parts[2]).otherwise(F.col("session_file")),
     }
     return df.withColumns({k: v for k, v in wanted.items() if k not in df.columns})
 

@@ -66,6 +66,18 @@ def test_clean_season_skips_and_forces(spark, landing, tmp_path):
     assert (row.raw_rows, row.row_count, row.rows_dropped) == (49, 44, 5) and row.file_size_mb > 0
 
 
+def test_other_file_names_keep_their_own_partition(spark, tmp_path):
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    session(5).to_parquet(folder / "shakedown.parquet")
+    session(6).to_parquet(folder / "2024_test_day_two.parquet")
+    lake = str(tmp_path / "lake")
+    clean_season(spark, str(folder), lake)
+    rows = {(r.Year, r.Session, r["count"]) for r in io.read_lake(spark, lake).groupBy("Year", "Session").count().collect()}
+    assert rows == {(None, "shakedown", 5), (None, "2024_test_day_two", 6)}
+    assert clean_season(spark, str(folder), lake) is None
+
+
 def test_new_session_is_the_only_one_cleaned(spark, landing, tmp_path):
     lake = str(tmp_path / "lake")
     clean_season(spark, landing, lake)
