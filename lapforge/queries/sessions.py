@@ -209,7 +209,7 @@ def position_at(spark, sf_dir):
          CASE o_orderstatus WHEN 'F' THEN 'Q' ELSE 'R' END AS Session, CAST(o_custkey % 20 AS VARCHAR) AS Driver,
          (o_orderkey * 7919 % 130000) * 100000000 + 12345 AS probe_time
   FROM orders)
-SELECT p.probe, p.probe_time, t.SessionTime AS nearest_time, t.X, t.Y, t.Speed
+SELECT p.probe, p.probe_time, t.SessionTime / 1000000000.0::DOUBLE AS nearest_s, t.X, t.Y, t.Speed
 FROM probes p LEFT JOIN telemetry t ON p.Year = t.Year AND p.Round = t.Round AND p.Session = t.Session AND p.Driver = t.Driver
 QUALIFY row_number() OVER (PARTITION BY p.probe ORDER BY abs(t.SessionTime - p.probe_time), t.tie) = 1""")
 def nearest(spark, sf_dir):
@@ -224,7 +224,7 @@ def nearest_positions(spark, sf_dir, **limits) -> DataFrame:
         "(o_orderkey * 7919 % 130000) * 100000000 + 12345 as probe_time")
     return L.nearest_in_time(probes, telemetry(spark, sf_dir), DRIVER_KEYS, "probe_time", "SessionTime",
                              ["X", "Y", "Speed"], ["tie"], **limits).select(
-        "probe", "probe_time", "nearest_time", "X", "Y", "Speed")
+        "probe", "probe_time", S.seconds(F.col("nearest_time")).alias("nearest_s"), "X", "Y", "Speed")
 
 
 @query("j4_nearest_in_time_segmented", ORACLES["j4_nearest_in_time"])
