@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapforge.config import MAX_BRAKE, MAX_SPEED
-from lapforge.operators.ordered import MAX_GROUP_ROWS, Timeline
+from lapforge.operators.ordered import MAX_GROUP_ROWS, Timeline, join_summary
 from lapforge.schema import DRIVER_KEYS, SESSION_KEYS
 
 COMPOUNDS = ("SOFT", "MEDIUM", "HARD")
@@ -46,4 +46,4 @@ def grid_edges(grid: DataFrame, keys: list[str] = SESSION_KEYS) -> DataFrame:
         *keys, F.col("cell_x").alias("from_x"), F.col("cell_y").alias("from_y"),
         (F.col("cell_x") + F.col("step.dx")).alias("cell_x"), (F.col("cell_y") + F.col("step.dy")).alias("cell_y"))
     entered = grid.select(*keys, "cell_x", "cell_y", F.col("cost").alias("weight"))
-    return reach.join(entered, [*keys, "cell_x", "cell_y"]).withColumnsRenamed({"cell_x": "to_x", "cell_y": "to_y"})
+    return join_summary(reach, entered, [*keys, "cell_x", "cell_y"], "inner").withColumnsRenamed({"cell_x": "to_x", "cell_y": "to_y"})

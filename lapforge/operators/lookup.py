@@ -100,4 +100,4 @@ def output_stem(stem: Column, driver: Column) -> Column:
 
 def pending(work: DataFrame, done: DataFrame, keys: list[str], force: bool = False) -> DataFrame:
     """Work items without an output; ``force`` keeps them all."""
-    return work if force else work.join(done.select(*keys).distinct(), keys, "left_anti")
+    return work if force else join_summary(work, done.select(*keys).distinct(), keys, "left_anti")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from lapforge.session import cut_lineage
 
 MAX_GROUP_ROWS = 4_000_000
+MAX_SEGMENTS = 40_000  # beyond it segments grow instead: one shuffle should not have more partitions
 CELL = "_cell"
 
 
@@ -103,7 +104,7 @@ class Timeline:
         total, biggest = largest_group(df if measured_on is None else measured_on, keys, max_group_rows)
         if biggest <= max_group_rows:
             return cls(df, keys, order)
-        parts = max(2, math.ceil(total / max_group_rows))
+        parts = min(MAX_SEGMENTS, max(2, math.ceil(total / max_group_rows)))
         ranged = df.repartitionByRange(parts, *ordering(keys), *ordering(order))
         # the partition id is only stable once it is written down
         stamped = cut_lineage(ranged.withColumn(CELL, cell(keys, F.spark_partition_id())), "timeline")

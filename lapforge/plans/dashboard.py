@@ -9,6 +9,7 @@ from lapforge.config import CHART_POINTS, MAP_POINTS
 from lapforge.functions import scalar as S
 from lapforge.operators import kpi as K
 from lapforge.operators import lookup as L
+from lapforge.operators.ordered import join_summary
 from lapforge.operators.sampling import downsample
 from lapforge.schema import CHART_CHANNELS, DRIVER_KEYS, SESSION_KEYS
 
@@ -43,9 +44,8 @@ def header_bar(telemetry: DataFrame, laps: DataFrame, meta: DataFrame) -> DataFr
     """One KPI row per session and driver; a dash where the anomaly job or the laps have nothing."""
     top = telemetry.groupBy(*DRIVER_KEYS).agg(
         F.coalesce(F.max("Speed").cast("double"), F.lit(0.0)).alias("_top"))
-    wide = top.join(K.fastest_laps(laps).drop("fastest_lap"), DRIVER_KEYS, "left").join(
-        meta.select(*DRIVER_KEYS, "mistake_rate_pct", "total_mistakes", "reference_driver",
-                    "best_contamination"), DRIVER_KEYS, "left")
+    wide = join_summary(join_summary(top, K.fastest_laps(laps).drop("fastest_lap"), DRIVER_KEYS), meta.select(
+        *DRIVER_KEYS, "mistake_rate_pct", "total_mistakes", "reference_driver", "best_contamination"), DRIVER_KEYS)
     named = L.with_team_names(L.with_driver_names(L.with_driver_names(
         wide, F.col("reference_driver"), key="reference_driver", name="_reference")))
     dash = F.lit(S.DASH)
@@ -89,7 +89,7 @@ def ai_summary(annotated: DataFrame, meta: DataFrame) -> DataFrame:
     """Anomaly counts and the caption of the analysis panel."""
     kinds = K.mistake_summary(annotated).select(*DRIVER_KEYS, "brake_override", "throttle_slip")
     known = meta.drop("brake_override", "throttle_slip")
-    named = L.with_driver_names(known.join(kinds, DRIVER_KEYS), F.col("reference_driver"),
+    named = L.with_driver_names(join_summary(known, kinds, DRIVER_KEYS, "inner"), F.col("reference_driver"),
                                 key="reference_driver", name="_reference")
     return named.withColumns({
         "caption": F.format_string("contamination=%.2f · %d anomalies (%s) · ref: %s", "best_contamination",
