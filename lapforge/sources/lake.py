@@ -12,15 +12,17 @@ MAX_FILE_ROWS = 20_000_000
 
 
 def write_sessions(df: DataFrame, path: str, order: list[str], mode: str = "overwrite",
-                   partitions: list[str] = SESSION_KEYS) -> None:
+                   partitions: list[str] = SESSION_KEYS, spread: bool = True) -> None:
     """Snappy Parquet partitioned by session and sorted by driver and time inside the files.
 
     Partitions that occur in ``df`` are replaced, others stay. Range partitioning on the sort
     columns cuts a large session into several files, where hashing the session key would send all
-    of it to one task.
+    of it to one task. ``spread=False`` is for rows whose tasks are bounded already, as the ordered
+    scan of the cleaning job leaves them: they are sorted where they are and not moved again.
     """
     columns = list(dict.fromkeys([*partitions, "Driver", *order]))
-    (df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    placed = df.repartitionByRange(*columns) if spread else df
+    (placed.sortWithinPartitions(*columns)
        .write.mode(mode).option("compression", "snappy").option("maxRecordsPerFile", MAX_FILE_ROWS)
        .option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path))
 

@@ -31,7 +31,7 @@ def clean_new_files(spark: SparkSession, landing: str, lake: str, ledger: str, s
         session = batch.sparkSession
         landed = list_files(session, landing).withColumn(FILE_KEYS[0], session_stem(F.col("path")))
         raw = read_sessions(session, landed.join(touched, FILE_KEYS, "left_semi"), landing=True)
-        write_sessions(clean(raw, FILE_KEYS, FILE_ORDER, scope), lake, ["SessionTime", *FILE_ORDER])
+        write_sessions(clean(raw, FILE_KEYS, FILE_ORDER, scope), lake, ["SessionTime", *FILE_ORDER], spread=False)
 
     stream = (files.writeStream.foreachBatch(run).option("checkpointLocation", ledger)
               .trigger(availableNow=True).start())
