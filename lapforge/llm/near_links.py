@@ -102,8 +102,8 @@ def link_classes(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
             "lo < hi").drop("lo", "hi")
 
     def check(pairs: DataFrame) -> DataFrame:
-        """The linked ones of (a, b)."""
-        def decide(batch):
+        """The linked ones of (a, b): first by sketches, which are short, then by the texts of what is left."""
+        def possible(batch):
             keep = []
             columns = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b")]
             for i, (x, y, s, t) in enumerate(zip(*columns)):
@@ -111,19 +111,22 @@ def link_classes(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
                 size = min(len(s), len(t))
                 if int(np.bitwise_count(fold(s, size) ^ fold(t, size)).sum()) <= most_difference(x, y, percent):
                     keep.append(i)
-            batch = batch.take(pa.array(keep, pa.int64()))
+            yield {c: batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")}
+
+        def decide(batch):
             ok = [similar_sets(x, y, percent) for x, y in zip(shingle_sets(batch.column("text_a"), words),
                                                               shingle_sets(batch.column("text_b"), words))]
             batch = batch.filter(pa.array(ok, pa.bool_()))
             yield {"a": batch.column("a"), "b": batch.column("b")}
 
-        def side(x):
-            return info.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}")
-                                 for c in ("node", "text", "n", "sketch")])
-        # a centre with very many members is split by the adaptive skew join
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select(
-            "a", "b", "text_a", "text_b", "n_a", "n_b", "sketch_a", "sketch_b")
-        return map_batches(both, decide, "a bigint, b bigint")
+        def both(rows, of, columns):
+            # a node with very many pairs is split by the adaptive skew join
+            for x in ("a", "b"):
+                rows = rows.join(of.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x)
+            return rows
+        near = cut_lineage(map_batches(both(pairs, info, ("n", "sketch")), possible, "a bigint, b bigint"), "near")
+        used = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+        return map_batches(both(near, only(info, used, "node"), ("text",)), decide, "a bigint, b bigint")
 
     def rest(rows: DataFrame) -> DataFrame:
         """(a, b) of different classes in one bucket that the sketches allow; buckets are cut into blocks."""

@@ -111,7 +111,7 @@ def parity_sketch_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     def keys(batch):
         text = batch.column("text")
-        sent: set[int] = set()
+        sent: set[int] = set()  # codes of this batch
         nodes, parts = [], []
         for s in shingle_sets(text, words):
             if not len(s):
@@ -130,8 +130,8 @@ def parity_sketch_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
             yield {"key": np.concatenate(parts).view(np.int64), "node": np.concatenate(nodes)}
 
     rows = cut_lineage(map_batches(docs, codes, "doc_id bigint, n_shingles bigint, node bigint"), "codes")
-    # a copy sends the same rows: only distinct ones count
-    sketches = map_batches(docs.select("text"), keys, "key bigint, node bigint").distinct()
+    # copies of other tasks send the same rows; dealt by key, they meet where the buckets are formed
+    sketches = map_batches(docs.select("text"), keys, "key bigint, node bigint").repartition("key").distinct()
     buckets = cut_lineage(shared_buckets(sketches), "buckets")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
