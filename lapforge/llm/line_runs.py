@@ -30,9 +30,10 @@ def line_suffixes(docs: DataFrame, row=None) -> DataFrame:
     """(row, doc_id, p, line_no, chars, name) of every non-blank line; outer blanks of a line do not count."""
     lines = F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda x, i: F.struct(
         i.alias("line_no"), F.regexp_replace(x, BLANKS, "").alias("line")))
-    row = F.monotonically_increasing_id() if row is None else row
-    listed = docs.select(row.alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"),
-                         F.posexplode(F.filter(lines, lambda s: s["line"] != "")).alias("p", "s"))
+    # numbered before the lines are taken apart, so that all lines of a row share its number
+    numbered = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"),
+                           F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    listed = numbered.select("row", "doc_id", F.posexplode(F.filter(lines, lambda s: s["line"] != "")).alias("p", "s"))
     return listed.select("row", "doc_id", "p", F.col("s.line_no").alias("line_no"),
                          F.length("s.line").alias("chars"), _names(F.col("s.line")).alias("name"))
 
