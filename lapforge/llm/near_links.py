@@ -25,7 +25,7 @@ from lapforge.llm.components import connected_components
 from lapforge.llm.tables import broadcast_if_small, cut_lineage, map_batches
 from lapforge.llm.texts import mix, shingle_sets
 
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 BLOCK = 512        # nodes of a bucket that are compared at once
 SKETCH_BITS = 14   # sketches have at most 2**14 bits
 
@@ -162,8 +162,7 @@ def link_classes(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     for round_number in range(STAR_ROUNDS + 1):
         rows = mixed(classes)
         if round_number < STAR_ROUNDS:
-            order = Window.partitionBy("key").orderBy(
-                F.desc("weight") if round_number == 0 else F.xxhash64(F.lit(round_number), "node"), "node")
+            order = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
             starred = rows.withColumns({"centre": F.first("node").over(order),
                                         "centre_class": F.first("component").over(order)})
             pairs = starred.where("component <> centre_class").select(
