@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lapforge.llm.tables import broadcast_if_small, cut_lineage, map_batches
 
 CATEGORIES = ("quality", "toxic")   # chain order; the last one decides
-SAMPLE_ROWS = 10_000                # bound of the labelled sample
+SAMPLE_ROWS = 20_000                # bound of the labelled sample
 FEATURES = 1_500                    # features kept for each category
 FOLDS = 5
 STEMS = (4, 5)                      # lengths of word beginnings
@@ -46,7 +46,7 @@ def tokens(text: str | None) -> set[str]:
 
 
 def fit_logistic(rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int,
-                 steps: int = 250, rate: float = 0.1, l2: float = 1e-4) -> np.ndarray:
+                 steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> np.ndarray:
     """Weights of a logistic model by full-batch Adam: ``width`` sparse 0/1 features, dense columns, intercept.
 
     Classes weigh the same in total. With one class only, the intercept alone carries the rate.
@@ -75,7 +75,8 @@ def margins(features: list, dense: np.ndarray, w: np.ndarray, width: int) -> np.
 
 
 def best_threshold(y: np.ndarray, z: np.ndarray) -> float:
-    """Margin with the best F1; inside the best gap between neighbours, its middle. Without both classes: none."""
+    """Margin with the best F1, in the middle between its neighbours, and never below even odds. Without both
+    classes there is none."""
     if not len(y) or y.sum() in (0, len(y)):
         return float("inf")
     order = np.argsort(-z, kind="stable")
@@ -84,7 +85,7 @@ def best_threshold(y: np.ndarray, z: np.ndarray) -> float:
     z = z[order]
     f1[:-1][z[:-1] == z[1:]] = -1
     best = int(np.argmax(f1))
-    return float((z[best] + z[best + 1]) / 2 if best + 1 < len(z) else z[best] - 1)
+    return max(0.0, float((z[best] + z[best + 1]) / 2 if best + 1 < len(z) else z[best] - 1))
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Chain:
