@@ -194,14 +194,16 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix as rows of ``docs``: a document whose blocks are all used k times comes k times as it is, and once
     more for each further use with the words of the blocks used that often, joined by single spaces (n_chars
     follows)."""
-    numbered = cut_lineage(_sized(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    # the row itself stays in one column, so its names cannot clash with those used here
+    numbered = cut_lineage(_sized(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_doc"))).drop(
+        "text").withColumn("_row", F.monotonically_increasing_id()), "rows")
     rows = numbered.select(F.col("_row").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"),
                            F.col("source").cast("string").alias("source"), "size", "_tie")
     placed, _, slots = plan_mix(rows, block)
     parts = _touched(placed, slots, block).groupBy("row").agg(
         F.min("uses").alias("whole"), F.sort_array(F.collect_list(F.struct("lo", "hi", "uses"))).alias("pieces"))
     joined = numbered.join(parts, F.col("_row") == F.col("row"))
-    words = F.filter(F.split("text", SPACE), lambda w: w != "")
+    words = F.filter(F.split("_doc.text", SPACE), lambda w: w != "")
     most = F.array_max(F.transform("pieces", lambda p: p["uses"]))
     numbers = F.sequence(F.lit(1).cast("bigint"), most)
     copies = joined.where(most > 0).withColumn("_copy", F.explode(numbers))
@@ -209,8 +211,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     part = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(
         F.filter("pieces", lambda p: p["uses"] >= F.col("_copy")),
         lambda p: F.slice(w, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")), 1)
-    text = F.when(F.col("_copy") <= F.col("whole"), F.col("text")).otherwise(part)
-    out = copies.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("bigint"))
-    return out.select(*docs.columns)
+    text = F.when(F.col("_copy") <= F.col("whole"), F.col("_doc.text")).otherwise(part)
+    copies = copies.select("_doc", text.alias("_text"))
+    replaced = {"text": F.col("_text"), "n_chars": F.length("_text").cast("bigint")}
+    return copies.select(*[replaced.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])

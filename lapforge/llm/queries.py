@@ -14,6 +14,7 @@ from lapforge.llm.mixing import mix_report
 from lapforge.llm.paragraphs import paragraph_report
 from lapforge.llm.parity_join import parity_sketch_join
 from lapforge.llm.tables import read_table
+from lapforge.llm.token_files import token_report
 from lapforge.llm.toxicity import score_chain, train_chain
 
 
@@ -26,6 +27,10 @@ def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_token_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read_table(spark, sf_dir, "pages"))
 
@@ -55,7 +60,7 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_classifier_chain, op2_paragraph_minhash, op4_tag_path_ratios, op5_line_first_cleaning,
+    op1_classifier_chain, op2_paragraph_minhash, op3_token_range_coder, op4_tag_path_ratios, op5_line_first_cleaning,
     op6_kneser_ney_perplexity, op7_block_mixing, op8_parity_sketch_join, op9_line_run_dedup,
     op10_latent_decontamination)}
 ORACLES: dict[str, str] = {
