@@ -75,16 +75,16 @@ def margins(features: list, dense: np.ndarray, w: np.ndarray, width: int) -> np.
 
 
 def best_threshold(y: np.ndarray, z: np.ndarray) -> float:
-    """Margin with the best F1, in the middle between its neighbours, and never below even odds. Without both
+    """Margin with the best F score (recall weighs twice), in the middle between its neighbours, and never below even odds. Without both
     classes there is none."""
     if not len(y) or y.sum() in (0, len(y)):
         return float("inf")
     order = np.argsort(-z, kind="stable")
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    score = 3 * hits / (np.arange(1, len(y) + 1) + 2 * y.sum())   # recall weighs twice
     z = z[order]
-    f1[:-1][z[:-1] == z[1:]] = -1
-    best = int(np.argmax(f1))
+    score[:-1][z[:-1] == z[1:]] = -1
+    best = int(np.argmax(score))
     return max(0.0, float((z[best] + z[best + 1]) / 2 if best + 1 < len(z) else z[best] - 1))
 
 
