@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,24 +27,45 @@ def build_session(app: str = "lapforge", cpus: str | int = "*", shuffle_partitio
     )
 
 
+_LOCAL_ROOTS: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a temporary folder.
+    Only a session in one process may do without it: it gets a temporary folder that is removed at the end. On a
+    cluster a local folder would lose what other machines write, so the setting is required there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lapforge-"))
-    # the context appends a unique folder to what it was given
-    return os.path.dirname(context.getCheckpointDir())
+    require_shared_folder(spark.sparkContext.master)
+    if not _LOCAL_ROOTS:
+        _LOCAL_ROOTS.append(tempfile.mkdtemp(prefix="lapforge-"))
+        atexit.register(shutil.rmtree, _LOCAL_ROOTS[0], ignore_errors=True)
+    return _LOCAL_ROOTS[0]
+
+
+def require_shared_folder(master: str) -> None:
+    """Raise unless the master runs all tasks in the driver's process."""
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The application's own folder below the shared one."""
+    return f"{scratch_root(spark).rstrip('/')}/lapforge-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared scratch folder."""
-    return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the application's folder."""
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
