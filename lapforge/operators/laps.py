@@ -16,13 +16,13 @@ def lap_features(samples: DataFrame, laps: DataFrame, lap_keys: list[str],
                  max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Mean channels of every lap, its place in the stint and the tyre compound as flags.
 
-    ``laps`` has one row per ``lap_keys`` with the driver keys, Stint, LapNumber and Compound.
+    ``laps`` has one row per ``lap_keys`` with the driver keys, Stint, LapNumber and Compound. A lap without samples
+    keeps its place in the stint and has no means.
     """
     means = samples.groupBy(*lap_keys).agg(*[F.avg(c).alias(f"mean_{c.lower()}") for c in ("Speed", "Throttle", "Brake")])
-    joined = laps.join(means, lap_keys)
-    placed = Timeline.of(joined, DRIVER_KEYS + ["Stint"], ["LapNumber"], max_group_rows, laps).positions(
+    placed = Timeline.of(laps, DRIVER_KEYS + ["Stint"], ["LapNumber"], max_group_rows, laps).positions(
         "_before", "stint_laps").result()
-    return placed.withColumns({
+    return placed.join(means, lap_keys, "left").withColumns({
         "lap_in_stint": F.col("_before") + 1,
         **{f"compound_{c.lower()}": (F.col("Compound") == c).cast("int") for c in COMPOUNDS},
     }).drop("_before")

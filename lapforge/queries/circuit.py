@@ -24,7 +24,7 @@ SELECT l.Year, l.Round, l.Session, l.Driver, l.LapNumber, l.Stint, round(mean_sp
        round(mean_throttle, 6) AS mean_throttle, round(mean_brake, 6) AS mean_brake,
        row_number() OVER w AS lap_in_stint, CASE WHEN Compound = 'SOFT' THEN 1 ELSE 0 END AS compound_soft,
        CASE WHEN Compound = 'MEDIUM' THEN 1 ELSE 0 END AS compound_medium, CASE WHEN Compound = 'HARD' THEN 1 ELSE 0 END AS compound_hard
-FROM laps l JOIN means USING (LapNumber)
+FROM laps l LEFT JOIN means USING (LapNumber)
 WINDOW w AS (PARTITION BY l.Year, l.Round, l.Session, l.Driver, l.Stint ORDER BY l.LapNumber)""")
 def per_lap(spark, sf_dir):
     samples = table(spark, sf_dir, "lineitem").selectExpr(

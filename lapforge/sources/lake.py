@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapforge.functions.scalar import one_decimal, parse_distance, parse_flag
 from lapforge.schema import META_SCHEMA, METRIC_COLUMNS, METRICS_SCHEMA, SESSION_KEYS
@@ -28,10 +29,12 @@ def write_sessions(df: DataFrame, path: str, order: list[str], mode: str = "over
 
 
 def read_lake(spark: SparkSession, path: str) -> DataFrame:
-    """A stored table. Keys that are folder names come back typed by their look: undo that."""
-    df = spark.read.parquet(path)
-    return df.withColumns({c: F.col(c).cast("string") for c in ("Session", "Driver")
-                           if c in df.columns and df.schema[c].dataType.simpleString() != "string"})
+    """A stored table. Keys that are folder names are read as the texts they were, "07" included."""
+    schema = spark.read.parquet(path).schema
+    for field in schema:
+        if field.name in ("Session", "Driver"):
+            field.dataType = T.StringType()
+    return spark.read.schema(schema).parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

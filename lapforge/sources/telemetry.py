@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapforge.functions.scalar import stem_parts
@@ -29,6 +29,23 @@ def session_stem(path: Column) -> Column:
     return F.regexp_replace(owner, r"^session_file=|\.parquet$", "")
 
 
+def part_name(name: Column) -> Column:
+    """A part file's name with its number padded, so that parts sort by number."""
+    number = F.regexp_extract(name, r"^part-(\d+)", 1)
+    rest = F.regexp_replace(name, r"^part-\d+", "")
+    return F.when(number != "", F.concat(F.lit("part-"), F.lpad(number, 12, "0"), rest)).otherwise(name)
+
+
+def rows_before(groups: list[DataFrame]) -> DataFrame:
+    """(session_file, part_file, _before): rows in the earlier parts of a session; one row per file."""
+    counts = None
+    for rows in groups:
+        own = rows.groupBy("session_file", "part_file").agg(F.count(F.lit(1)).alias("_rows"))
+        counts = own if counts is None else counts.union(own)
+    ahead = Window.partitionBy("session_file").orderBy("part_file").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("session_file", "part_file", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before"))
+
+
 def lake_size(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Size of everything below a folder, as "12.34 MB"."""
     total = F.coalesce(F.sum("length"), F.lit(0)) / F.lit(1024.0 * 1024.0)
@@ -71,23 +88,32 @@ def read_sessions(spark: SparkSession, source: str | DataFrame, fill_channels: b
     column and an all-NULL column alike. ``source`` is a file listing or a path, which may hold
     wildcards (``lake/2024_*`` for a year).
     ``landing`` limits the read to the columns an ingested session keeps. Synthesized times count
-    the rows of one file, as a session is stored in one file where they are missing.
+    the rows of a session through all of its part files.
     """
     # pandas stores instants in nanoseconds, which the reader only accepts as plain numbers
     spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     files = list_files(spark, source) if isinstance(source, str) else source.select("path")
-    parts = []
+    parts, groups = [], []
     for paths in schema_groups(files):
         raw = spark.read.parquet(*paths)
         origin = {
             "session_file": session_stem(F.col("_metadata.file_path")),
-            "part_file": F.col("_metadata.file_name"),
+            "part_file": part_name(F.col("_metadata.file_name")),
             "row_index": F.col("_metadata.row_index"),
         }
         rows = raw.withColumns(origin)
         if landing:
             rows = rows.select(*keep_existing(rows).columns, *list(origin))
-        parts.append(with_session_keys(repair_columns(conform(rows), "row_index", fill_channels)))
+        groups.append(rows)
+    timed = {"Time", "SessionTime"}
+    earlier = None if all(timed <= set(g.columns) for g in groups) else rows_before(groups)
+    for rows in groups:
+        if timed <= set(rows.columns):
+            parts.append(with_session_keys(repair_columns(conform(rows), "row_index", fill_channels)))
+        else:
+            placed = rows.join(earlier, ["session_file", "part_file"]).withColumn(
+                "_position", F.col("row_index") + F.col("_before")).drop("_before")
+            parts.append(with_session_keys(repair_columns(conform(placed), "_position", fill_channels)).drop("_position"))
     if not parts:
         raise FileNotFoundError(f"no session files in {source}")
     out = parts[0]

@@ -4,8 +4,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lapforge.operators.laps import lap_features
 from lapforge.plans.season import clean_season, lake_catalog
+from lapforge.session import clear_scratch, cut_lineage, require_shared_folder, run_folder
 from lapforge.sources import lake as io
+from lapforge.sources.lake import path_exists, read_lake
 from lapforge.sources.telemetry import lake_size, read_sessions, season_manifest
 from lapforge.streaming.incremental import clean_new_files
 
@@ -155,3 +158,43 @@ def test_report(spark):
                                "session_label string, Year int, driver_name string, Driver string, total_rows long, top_speed double, output_file string")
     text = io.report_text(df).first().report
     assert text.splitlines()[2:] == ["Session: Round 1", "Year: 2024", "Driver: Max (#1)", "Total rows: 10", "Top Speed: 301.2 km/h"]
+
+
+def test_times_go_on_over_part_files(spark, tmp_path):
+    folder = tmp_path / "2024_1_Q.parquet"
+    folder.mkdir()
+    for number, speeds in ((99999, [5.0, 6.0, 7.0]), (100000, [8.0, 9.0]), (7, [1.0, 2.0, 3.0])):
+        pd.DataFrame({"Driver": "1", "Speed": speeds}).to_parquet(folder / f"part-{number:05d}.parquet")
+    rows = read_sessions(spark, str(tmp_path)).orderBy("SessionTime").collect()
+    assert [r.SessionTime // 10**9 for r in rows] == list(range(8))
+    assert [r.Speed for r in rows] == [1.0, 2.0, 3.0, 5.0, 6.0, 7.0, 8.0, 9.0]
+
+
+def test_driver_text_survives_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(2024, 1, "01", "07", 1)], "Year int, Round int, Session string, Driver string, x int")
+    rows.write.partitionBy("Year", "Round", "Session", "Driver").parquet(str(tmp_path / "lake"))
+    row = read_lake(spark, str(tmp_path / "lake")).first()
+    assert (row.Session, row.Driver, row.Year, row.x) == ("01", "07", 2024, 1)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(RuntimeError):
+            require_shared_folder(master)
+    for master in ("local", "local[*]", "local[8]"):
+        require_shared_folder(master)
+
+
+def test_scratch_is_cleared(spark):
+    df = cut_lineage(spark.range(3), "probe")
+    assert df.count() == 3
+    clear_scratch(spark)
+    assert not path_exists(spark, run_folder(spark))
+
+
+def test_laps_without_samples_keep_their_number(spark):
+    laps = spark.createDataFrame([(2024, 1, "R", "1", 1, n, "SOFT") for n in (1, 2, 3)],
+                                 "Year int, Round int, Session string, Driver string, Stint int, LapNumber int, Compound string")
+    samples = spark.createDataFrame([(1, 100.0, 1.0, 0.0), (3, 200.0, 2.0, 0.0)], "LapNumber int, Speed double, Throttle double, Brake double")
+    rows = lap_features(samples, laps, ["LapNumber"]).orderBy("LapNumber").collect()
+    assert [(r.lap_in_stint, r.mean_speed) for r in rows] == [(1, 100.0), (2, None), (3, 200.0)]
