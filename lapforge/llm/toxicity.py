@@ -46,7 +46,7 @@ def tokens(text: str | None) -> set[str]:
 
 
 def fit_logistic(rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int,
-                 steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> np.ndarray:
+                 steps: int = 250, rate: float = 0.05, l2: float = 1e-4) -> np.ndarray:
     """Weights of a logistic model by full-batch Adam: ``width`` sparse 0/1 features, dense columns, intercept.
 
     Classes weigh the same in total. With one class only, the intercept alone carries the rate.
