@@ -3,24 +3,32 @@
 A paragraph is a line of a text. Equal paragraphs (same five-word shingles) are one node, so a passage in
 thousands of documents costs one signature. The number of bands follows from the wanted recall. Colliding
 paragraphs are compared by their exact Jaccard similarity, and clusters are the connected components.
+
+Passages inside longer or over shorter lines are found by spans of ``SPAN`` words that the content chooses: of the
+spans in every stretch of ``PASSAGE`` + 1 words, line ends or not, the one with the smallest hash is taken
+(winnowing). Equal stretches choose equal spans, so every passage of more than ``PASSAGE`` equal words in two
+places shares a span, and none is missed by chance.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapforge.llm.near_links import bit_sketch, link_classes, only, shared_buckets
-from lapforge.llm.tables import cut_lineage, map_batches
+from lapforge.llm.tables import broadcast_if_small, cut_lineage, map_batches
 from lapforge.llm.texts import chunks, mix, mix_int, raw_bytes, rolling, span_hashes, split_words
 
 WORDS, PERCENT = 5, 80
 MIN_WORDS = 20          # shorter lines are no passages; repeated short lines are the line dedup's work
 RECALL, MAX_BANDS = 0.999, 16
+SPAN, PASSAGE = 25, 50  # words of a span; every longer passage than this holds one
+DOCUMENT, SPANS = -1, -2   # line numbers of rows that are no lines
 
 
 def tune_bands(similarity: float, recall: float = RECALL, most: int = MAX_BANDS) -> tuple[int, int]:
@@ -33,9 +41,37 @@ def tune_bands(similarity: float, recall: float = RECALL, most: int = MAX_BANDS)
     return best
 
 
+def _sliding(of: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum or maximum of every ``width`` values in a row, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = of(x[:len(x) - step], x[step:])
+        have += step
+    return x
+
+
+def content_spans(text: pa.Array, span: int = SPAN, passage: int = PASSAGE
+                  ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first word, code) of the chosen spans of a batch; words count from 0 in their text."""
+    data, offsets = raw_bytes(text)
+    starts, ends, first = split_words(data, offsets)
+    if len(starts) <= passage:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    code = rolling(span_hashes(data, starts, ends, lower=True), span)
+    doc = np.repeat(np.arange(len(text)), np.diff(first))
+    width = passage + 2 - span      # spans in a stretch of passage + 1 words
+    least = np.where(doc[:-passage] == doc[passage:], _sliding(np.minimum, code, width), np.uint64(0))
+    edge = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.maximum, np.r_[edge, least, edge], width) == code)
+    return doc[at], at - first[doc[at]], code[at].view(np.int64)
+
+
 def line_shingles(text: pa.Array, words: int, min_words: int):
     """All lines with ``min_words`` words or more of a batch, as arrays: text number, line number, words, start of
-    the line's shingles (one value more), shingle hashes, and the byte span of the line's words."""
+    the line's shingles (one value more), shingle hashes, the byte span of the line's words, and the number of its
+    first word in the text."""
     data, offsets = raw_bytes(text)
     starts, ends, first = split_words(data, offsets)
     breaks = np.flatnonzero(data == 10)
@@ -53,7 +89,7 @@ def line_shingles(text: pa.Array, words: int, min_words: int):
     bounds = np.r_[0, np.cumsum(sizes)].astype(np.int64)
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     return doc[new[use]], line[new[use]], count[use], bounds, flat, starts[new[use]], \
-        ends[new[use] + count[use] - 1] if len(use) else use
+        ends[new[use] + count[use] - 1] if len(use) else use, new[use] - first[doc[new[use]]]
 
 
 def codes_of(bounds: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -73,24 +109,30 @@ def paragraph_clusters(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     with fewer than ``min_words`` words take no part, so null, empty and blank texts have no rows. Of repeated
     rows with one doc_id and equal lines, all but one count as copies. Other columns are ignored.
     """
-    return _clusters(docs, words, percent, min_words)[1]
+    return _clusters(docs, words, percent, min_words)[1].select(
+        "doc_id", "line_no", "n_words", "cluster", "first_doc", "keep")
 
 
-def _clusters(docs: DataFrame, words: int, percent: int, min_words: int) -> tuple[DataFrame, DataFrame]:
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _clusters(docs: DataFrame, words: int, percent: int, min_words: int, row=None) -> tuple[DataFrame, DataFrame]:
+    """(rows, copies): every document, line and span with its node, and the lines that have copies."""
+    docs = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"),
+                       F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_bands, n_rows = tune_bands(percent / 100)
     factors = np.array([mix_int(2 * i + 1) | 1 for i in range(n_bands * n_rows)], np.uint64)
 
     def places(batch):
         for i, j in chunks(batch.column("text")):
-            doc, line, count, bounds, flat, *_ = line_shingles(batch.column("text").slice(i, j - i), words, min_words)
-            ids = batch.column("doc_id").slice(i, j - i)
-            every = pa.array(np.arange(j - i))
-            # one row without a line for each document, then its paragraphs
-            yield {"doc_id": ids.take(every), "line_no": [-1] * (j - i), "n_words": [0] * (j - i),
-                   "node": pa.nulls(j - i, pa.int64())}
-            yield {"doc_id": ids.take(pa.array(doc)), "line_no": line, "n_words": count,
-                   "node": codes_of(bounds, flat)}
+            text = batch.column("text").slice(i, j - i)
+            doc, line, count, bounds, flat, _, _, word = line_shingles(text, words, min_words)
+            ids, row = batch.column("doc_id").slice(i, j - i), batch.column("row").slice(i, j - i)
+            # one row without a line for each document, then its paragraphs, then its spans
+            yield {"row": row, "doc_id": ids, "line_no": [DOCUMENT] * (j - i), "word": [0] * (j - i),
+                   "n_words": [0] * (j - i), "node": pa.nulls(j - i, pa.int64())}
+            yield {"row": row.take(pa.array(doc)), "doc_id": ids.take(pa.array(doc)), "line_no": line, "word": word,
+                   "n_words": count, "node": codes_of(bounds, flat)}
+            doc, word, node = content_spans(text)
+            yield {"row": row.take(pa.array(doc)), "doc_id": ids.take(pa.array(doc)),
+                   "line_no": np.full(len(doc), SPANS), "word": word, "n_words": np.full(len(doc), SPAN), "node": node}
 
     def keys(batch):
         for i, j in chunks(batch.column("text")):
@@ -105,8 +147,8 @@ def _clusters(docs: DataFrame, words: int, percent: int, min_words: int) -> tupl
                     key = mix(key + np.minimum.reduceat(mix(flat * factor), bounds[:-1]))
                 yield {"key": key[once].view(np.int64), "node": node[once]}
 
-    rows = cut_lineage(map_batches(docs, places, "doc_id bigint, line_no bigint, n_words bigint, node bigint"),
-                       "paragraphs")
+    rows = cut_lineage(map_batches(docs, places, "row bigint, doc_id bigint, line_no bigint, word bigint, "
+                                                 "n_words bigint, node bigint"), "paragraphs")
     # copies of other tasks send the same rows; dealt by key, they meet where the buckets are formed
     bands = map_batches(docs.select("text"), keys, "key bigint, node bigint").repartition("key").distinct()
     buckets = cut_lineage(shared_buckets(bands), "buckets")
@@ -115,7 +157,7 @@ def _clusters(docs: DataFrame, words: int, percent: int, min_words: int) -> tupl
         def lines(batch):
             for i, j in chunks(batch.column("text")):
                 text = batch.column("text").slice(i, j - i)
-                _, _, _, bounds, flat, starts, ends = line_shingles(text, words, min_words)
+                _, _, _, bounds, flat, starts, ends, _ = line_shingles(text, words, min_words)
                 data = raw_bytes(text)[0].tobytes()
                 node = codes_of(bounds, flat)
                 _, once = np.unique(node, return_index=True)
@@ -133,8 +175,32 @@ def _clusters(docs: DataFrame, words: int, percent: int, min_words: int) -> tupl
     named = cut_lineage(of.select("node", "cluster").join(totals, "cluster"), "clusters")
     copies = placed.join(named, "node").withColumn("rank", F.row_number().over(_same_place()))
     keep = (_place() == F.col("first")) & (F.col("rank") == 1)
-    return rows, copies.select("doc_id", "line_no", "n_words", "cluster", F.col("first.doc_id").alias("first_doc"),
-                               keep.alias("keep"))
+    return rows, copies.select("row", "doc_id", "line_no", "word", "n_words", "cluster",
+                               F.col("first.doc_id").alias("first_doc"), keep.alias("keep"))
+
+
+def _span_copies(rows: DataFrame) -> DataFrame:
+    """row, doc_id, word, n_words, first_doc, keep of every span that has copies; its first place is kept."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row"), F.col("word"))
+    spans = rows.where(F.col("line_no") == SPANS).select("row", "doc_id", "word", "n_words", "node")
+    named = spans.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    copies = spans.join(broadcast_if_small(cut_lineage(named, "spans")), "node")
+    return copies.select("row", "doc_id", "word", "n_words", F.col("first.doc_id").alias("first_doc"),
+                         (place == F.col("first")).alias("keep"))
+
+
+def _stretches(copies: DataFrame, spans: DataFrame) -> DataFrame:
+    """row, doc_id, start, stop, fresh, opens of the removed lines and spans in order: ``fresh`` counts the words
+    that none before covers, ``opens`` is 1 where a maximal stretch of removed words begins."""
+    columns = ["row", "doc_id", "word", "n_words"]
+    gone = copies.where("not keep").select(columns).union(spans.where("not keep").select(columns)).select(
+        "row", "doc_id", F.col("word").alias("start"), (F.col("word") + F.col("n_words")).alias("stop"))
+    before = F.coalesce(F.max("stop").over(Window.partitionBy("row").orderBy("start", "stop").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(-1))
+    return gone.withColumn("before", before).select(
+        "row", "doc_id", "start", "stop",
+        F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "before")).alias("fresh"),
+        F.when(F.col("start") > F.col("before"), 1).otherwise(0).alias("opens"))
 
 
 def _place():
@@ -142,23 +208,28 @@ def _place():
 
 
 def _same_place():
-    from pyspark.sql import Window
     return Window.partitionBy("cluster", "doc_id", "line_no").orderBy(F.lit(1))
 
 
 def paragraph_report(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, min_words: int = MIN_WORDS
                      ) -> DataFrame:
-    """Per doc_id: class_id (smallest doc_id that holds the first copy of one of its paragraphs, itself without
-    copies), n_paragraphs, n_removed, n_words_removed. Rows of one doc_id are reported together."""
+    """Per doc_id: class_id (smallest doc_id that holds the first copy of one of its paragraphs or spans, itself
+    without copies), n_paragraphs, n_removed (paragraphs), n_passages_removed (maximal stretches of words in removed
+    paragraphs and spans), n_words_removed. Rows of one doc_id are reported together."""
     rows, copies = _clusters(docs, words, percent, min_words)
-    own = rows.groupBy("doc_id").agg(F.sum(F.when(F.col("line_no") >= 0, 1).otherwise(0)).alias("n_paragraphs"))
-    lost = copies.groupBy("doc_id").agg(
-        F.min("first_doc").alias("first_doc"), F.sum(F.when(~F.col("keep"), 1).otherwise(0)).alias("n_removed"),
-        F.sum(F.when(~F.col("keep"), F.col("n_words")).otherwise(0)).alias("n_words_removed"))
+    copies, spans = cut_lineage(copies, "copies"), cut_lineage(_span_copies(rows), "span_copies")
+    own = rows.where(F.col("line_no") != SPANS).groupBy("doc_id").agg(
+        F.sum(F.when(F.col("line_no") >= 0, 1).otherwise(0)).alias("n_paragraphs"))
+    columns = ["n_removed", "n_passages_removed", "n_words_removed"]
+    none, no_doc = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+    parts = copies.select("doc_id", "first_doc", F.when(~F.col("keep"), 1).otherwise(0).alias("n_removed"),
+                          none.alias("n_passages_removed"), none.alias("n_words_removed"))
+    parts = parts.union(spans.select("doc_id", "first_doc", none, none, none))
+    parts = parts.union(_stretches(copies, spans).select("doc_id", no_doc, none, "opens", "fresh"))
+    lost = parts.groupBy("doc_id").agg(F.min("first_doc").alias("first_doc"), *[F.sum(c).alias(c) for c in columns])
     return own.join(lost.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
         "doc_id", F.least(F.coalesce("first_doc", "doc_id"), "doc_id").alias("class_id"), "n_paragraphs",
-        F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
-        F.coalesce("n_words_removed", F.lit(0)).cast("bigint").alias("n_words_removed"))
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in columns])
 
 
 def remove_paragraphs(docs: DataFrame, copies: DataFrame) -> DataFrame:
@@ -169,3 +240,25 @@ def remove_paragraphs(docs: DataFrame, copies: DataFrame) -> DataFrame:
     joined = docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left")
     return joined.withColumn("text", F.when(F.col("_gone").isNotNull(), F.array_join(lines, "\n")).otherwise(
         F.col("text"))).select(*docs.columns)
+
+
+def remove_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, min_words: int = MIN_WORDS
+                    ) -> DataFrame:
+    """``docs`` with the words of all removed paragraphs and spans taken out; the white space around them stays."""
+    numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows, copies = _clusters(numbered, words, percent, min_words, F.col("_row"))
+    gone = _stretches(copies, _span_copies(rows)).groupBy(F.col("row").alias("_row")).agg(
+        F.collect_set(F.struct("start", "stop")).alias("_gone"))
+
+    @F.udf("string")
+    def cut(text, stretches):
+        if not stretches:
+            return text
+        data = text.encode()
+        places = [m.span() for m in re.finditer(rb"[^\t-\r ]+", data)]
+        out, at = [], 0
+        for start, stop in sorted(map(tuple, stretches)):
+            out.append(data[at:max(at, places[start][0])])
+            at = max(at, places[stop - 1][1])
+        return b"".join([*out, data[at:]]).decode()
+    return numbered.join(gone, "_row", "left").withColumn("text", cut("text", "_gone")).select(*docs.columns)

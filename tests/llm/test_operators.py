@@ -154,6 +154,42 @@ def test_paragraphs(documents, texts, edge, empty):
     assert 1 - (1 - 0.8 ** rows_) ** bands >= 0.999
 
 
+def test_passages_by_force(spark, documents, texts):
+    """Every shared window of 51 words, in whatever lines, shares a span; the planted ones by hand, the others too."""
+    import pyarrow as pa
+    rng = np.random.default_rng(11)
+    fill = lambda n: [f"f{x}" for x in rng.integers(0, 10**9, n)]
+    passage = fill(51)
+    short = "\n".join(" ".join((fill(7) + passage + fill(5))[i:i + 9]) for i in range(0, 63, 9))
+    more = {10**6: " ".join(fill(300) + passage + fill(200)), 10**6 + 1: " ".join(fill(40) + passage + fill(700)),
+            10**6 + 2: short, 10**6 + 3: " ".join(fill(60) + passage[:24] + fill(60))}
+    every = texts | more
+    first, pairs = {}, set()
+    for i in sorted(every):
+        w = words_of(every[i])
+        for k in range(len(w) - 50):
+            holder = first.setdefault(tuple(w[k:k + 51]), i)
+            if holder != i:
+                pairs.add((holder, i))
+    assert {(10**6, 10**6 + 1), (10**6, 10**6 + 2)} < pairs and len(pairs) > 5
+    ids = sorted(every)
+    doc, word, code = paragraphs.content_spans(pa.array([every[i] for i in ids], pa.string()))
+    spans = defaultdict(set)
+    for d, p, c in zip(doc, word, code):
+        spans[ids[d]].add(c)
+        assert p + paragraphs.SPAN <= len(words_of(every[ids[d]]))
+    assert all(spans[a] & spans[b] for a, b in pairs)
+    docs = documents.select("doc_id", "text").union(spark.createDataFrame(list(more.items()), "doc_id bigint, text string"))
+    got = report(paragraphs.paragraph_report(docs))
+    assert got[10**6 + 1]["class_id"] == got[10**6 + 2]["class_id"] == 10**6 and got[10**6 + 3]["class_id"] == 10**6 + 3
+    assert got[10**6]["n_words_removed"] == 0 and got[10**6 + 3]["n_words_removed"] == 0
+    for i in (10**6 + 1, 10**6 + 2):
+        assert got[i]["n_passages_removed"] == 1 and 25 <= got[i]["n_words_removed"] <= 51
+    left = report(paragraphs.remove_passages(docs.where("doc_id >= 1000000")))
+    for i, t in more.items():
+        assert len(words_of(left[i]["text"])) == len(words_of(t)) - got[i]["n_words_removed"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, sf_dir, name):
     con = duckdb.connect()
