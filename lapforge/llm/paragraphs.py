@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapforge.llm.components import connected_components
 from lapforge.llm.near_links import bit_sketch, link_classes, only, shared_buckets
 from lapforge.llm.tables import broadcast_if_small, cut_lineage, map_batches
 from lapforge.llm.texts import chunks, mix, mix_int, raw_bytes, rolling, span_hashes, split_words
@@ -213,8 +214,8 @@ def _same_place():
 
 def paragraph_report(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, min_words: int = MIN_WORDS
                      ) -> DataFrame:
-    """Per doc_id: class_id (smallest doc_id that holds the first copy of one of its paragraphs or spans, itself
-    without copies), n_paragraphs, n_removed (paragraphs), n_passages_removed (maximal stretches of words in removed
+    """Per doc_id: class_id (smallest doc_id reachable over documents that share a paragraph cluster or a span,
+    itself without copies), n_paragraphs, n_removed (paragraphs), n_passages_removed (maximal stretches of words in removed
     paragraphs and spans), n_words_removed. Rows of one doc_id are reported together."""
     rows, copies = _clusters(docs, words, percent, min_words)
     copies, spans = cut_lineage(copies, "copies"), cut_lineage(_span_copies(rows), "span_copies")
@@ -226,9 +227,15 @@ def paragraph_report(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
                           none.alias("n_passages_removed"), none.alias("n_words_removed"))
     parts = parts.union(spans.select("doc_id", "first_doc", none, none, none))
     parts = parts.union(_stretches(copies, spans).select("doc_id", no_doc, none, "opens", "fresh"))
+    # every document of a cluster is linked to the cluster's first one, so chains over several clusters are kept
+    links = copies.select("doc_id", "first_doc").union(spans.select("doc_id", "first_doc")).distinct()
+    classes = connected_components(links.select(F.col("doc_id").alias("a"), F.col("first_doc").alias("b"))).select(
+        F.col("node").alias("first"), F.col("component").alias("class_id"))
     lost = parts.groupBy("doc_id").agg(F.min("first_doc").alias("first_doc"), *[F.sum(c).alias(c) for c in columns])
-    return own.join(lost.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
-        "doc_id", F.least(F.coalesce("first_doc", "doc_id"), "doc_id").alias("class_id"), "n_paragraphs",
+    found = own.join(lost.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left").withColumn(
+        "first", F.coalesce("first_doc", "doc_id"))
+    return found.join(classes, "first", "left").select(
+        "doc_id", F.coalesce("class_id", "first").alias("class_id"), "n_paragraphs",
         *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in columns])
 
 

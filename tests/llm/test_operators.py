@@ -190,6 +190,15 @@ def test_passages_by_force(spark, documents, texts):
         assert len(words_of(left[i]["text"])) == len(words_of(t)) - got[i]["n_words_removed"]
 
 
+def test_paragraph_classes_are_components(spark):
+    """Documents 5 and 6 share Q; 5 also shares P with 1, and Q is first in 2."""
+    p, q, r = (" ".join(f"{x}{i}" for i in range(30)) for x in "pqr")
+    docs = spark.createDataFrame([(1, p), (2, q), (5, f"{p}\n{q}"), (6, q), (7, r), (8, f"{r}\n{r}"), (9, "alone"),
+                                  (None, p)], "doc_id bigint, text string")
+    got = {i: r["class_id"] for i, r in report(paragraphs.paragraph_report(docs)).items()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 7: 7, 8: 7, 9: 9, None: 1}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, sf_dir, name):
     con = duckdb.connect()
