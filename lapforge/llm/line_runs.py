@@ -128,3 +128,17 @@ select d.doc_id, count(o.p)::bigint as n_lines, count(*) filter (gone)::bigint a
        count(*) filter (opens)::bigint as n_runs, coalesce(sum(length(line)) filter (gone), 0)::bigint as chars_removed
 from d left join o on d.r = o.r group by d.doc_id
 """
+
+
+#: The same for runs of one line on: every later copy of a line.
+SINGLE_ORACLE = r"""
+with d as (select row_number() over (order by doc_id) as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select r, doc_id, i, regexp_replace(ls[i], '^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$', '', 'g') as line
+      from (select r, doc_id, ls, unnest(range(1, len(ls) + 1)) as i from d)),
+s as (select r, doc_id, row_number() over (partition by r order by i) as p, line from l where line <> ''),
+m as (select s.*, row_number() over (partition by line order by r, p) > 1 as gone from s),
+o as (select *, gone and not coalesce(lag(gone) over (partition by r order by p), false) as opens from m)
+select d.doc_id, count(o.p)::bigint as n_lines, count(*) filter (gone)::bigint as n_removed,
+       count(*) filter (opens)::bigint as n_runs, coalesce(sum(length(line)) filter (gone), 0)::bigint as chars_removed
+from d left join o on d.r = o.r group by d.doc_id
+"""

@@ -55,6 +55,10 @@ def op9_line_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.line_run_report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_single_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.line_run_report(read_table(spark, sf_dir, "documents"), min_lines=1)
+
+
 def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -62,8 +66,9 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_classifier_chain, op2_paragraph_minhash, op3_token_range_coder, op4_tag_path_ratios, op5_line_first_cleaning,
     op6_kneser_ney_perplexity, op7_block_mixing, op8_parity_sketch_join, op9_line_run_dedup,
-    op10_latent_decontamination)}
+    op9_single_line_dedup, op10_latent_decontamination)}
 ORACLES: dict[str, str] = {
     "op5_line_first_cleaning": line_quality.ORACLE,
     "op9_line_run_dedup": line_runs.ORACLE,
+    "op9_single_line_dedup": line_runs.SINGLE_ORACLE,
 }

@@ -230,6 +230,14 @@ def test_line_runs_edges(edge, empty):
         line_runs.repeated_runs(edge, 3)
 
 
+def test_single_line_runs(spark):
+    """A hot line between unlike neighbours stays in its first place only."""
+    docs = spark.createDataFrame([(i, f"own {i}\nhot line\nmore {i}") for i in range(5)], "doc_id bigint, text string")
+    got = report(line_runs.line_run_report(docs, min_lines=1))
+    assert [got[i]["n_removed"] for i in range(5)] == [0, 1, 1, 1, 1]
+    assert "op9_single_line_dedup" in queries.QUERIES and "op9_single_line_dedup" in queries.ORACLES
+
+
 def test_mix(spark, documents, edge, empty):
     rows = mixing.mix_report(documents).toPandas()
     again = mixing.mix_report(documents.repartition(5)).toPandas()
