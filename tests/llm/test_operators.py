@@ -407,6 +407,28 @@ def test_leaks(spark, documents, texts, edge, empty, sf_dir):
     assert latent_leaks.benchmark_leaks(edge, odd.limit(0)).collect() == [] and latent_leaks.benchmark_leaks(empty, odd).collect() == []
 
 
+def test_leaks_with_rare_words_replaced(spark, documents, sf_dir):
+    """Items without their rarest third of words; expected is what brute force (subsequence and answer) accepts."""
+    import pyarrow as pa
+    from lapforge.llm.texts import word_hashes
+    bench = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    docs = documents.select("doc_id", "text")
+    df = Counter(w for r in docs.collect() for w in set(words_of(r.text)))
+    planted, want = [], set()
+    for k, x in bench.items():
+        w = words_of(x, lower=False)
+        for i in sorted(range(len(w)), key=lambda i: df[w[i].lower()])[:int(0.35 * len(w))]:
+            w[i] = f"zz{k}y{i}"
+        hashes = [word_hashes(pa.array([t]))[0] for t in (x, latent_leaks.answer_of(x), " ".join(w))]
+        planted.append((10**6 + k, "Some words before it. " + " ".join(w) + " And a few after.", k))
+        if latent_leaks.check_words(*hashes)[1]:
+            want.add((10**6 + k, k))
+    more = docs.union(spark.createDataFrame([c[:2] for c in planted], "doc_id bigint, text string"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in latent_leaks.benchmark_leaks(more, items).collect()}
+    assert len(want) > 10 and len(got & want) >= 0.9 * len(want)
+
+
 def test_shingles_of_nulls():
     import pyarrow as pa
     assert [len(s) for s in shingle_sets(pa.array([None, "", "a b", "A b c d e f"]), 5)] == [0, 0, 1, 2]
