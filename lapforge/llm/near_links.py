@@ -83,7 +83,20 @@ def close_pairs(nodes: list[int], classes: list[int], sizes: list[int], sketches
 
 def link_classes(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int
                  ) -> DataFrame:
-    """(node, component) of all nodes with a link of ``percent`` similarity of ``words``-word shingles.
+    """(node, component) of all nodes with a link of ``percent`` similarity of ``words``-word shingles."""
+    return _links(buckets, texts_of, words, percent, STAR_ROUNDS)[0]
+
+
+def all_links(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int
+              ) -> tuple[DataFrame, DataFrame]:
+    """((node, component), (a, b)): the classes and every link between different nodes, once each with a < b. Without
+    a star round every node is a class of its own, so no pair of a bucket is skipped before its sketches are compared."""
+    return _links(buckets, texts_of, words, percent, 0)
+
+
+def _links(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int,
+           star_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Classes and the links that were verified for them.
 
     ``buckets`` (key, node, members): a stored table; ``texts_of(nodes)`` gives (node, text, n, sketch) for the
     nodes asked for.
@@ -159,9 +172,9 @@ def link_classes(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
             compare, "a bigint, b bigint").distinct()
 
     classes, links = None, None
-    for round_number in range(STAR_ROUNDS + 1):
+    for round_number in range(star_rounds + 1):
         rows = mixed(classes)
-        if round_number < STAR_ROUNDS:
+        if round_number < star_rounds:
             order = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
             starred = rows.withColumns({"centre": F.first("node").over(order),
                                         "centre_class": F.first("component").over(order)})
@@ -174,8 +187,10 @@ def link_classes(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
             links = found if links is None else links.union(found)
             classes = cut_lineage(connected_components(links), "classes")
     if classes is None:
-        return info.where("false").select("node", F.col("node").alias("component"))
-    return classes
+        none = info.where("false")
+        return none.select("node", F.col("node").alias("component")), none.select(
+            F.col("node").alias("a"), F.col("node").alias("b"))
+    return classes, links
 
 
 def only(rows: DataFrame, nodes: DataFrame, on: str) -> DataFrame:

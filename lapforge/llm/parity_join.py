@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapforge.llm.near_links import bit_sketch, link_classes, only, shared_buckets
+from lapforge.llm.near_links import all_links, bit_sketch, link_classes, only, shared_buckets
 from lapforge.llm.tables import broadcast_if_small, cut_lineage, map_batches
 from lapforge.llm.texts import chunks, mix, mix_int, shingle_sets
 
@@ -88,8 +88,9 @@ def set_code(shingles: np.ndarray) -> int:
     return int(mix(mix(both[:1]) + both[1:] + np.uint64(len(shingles))).view(np.int64)[0])
 
 
-def parity_sketch_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+def parity_sketch_join(docs: DataFrame, words: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, and n_links if ``links`` is set:
+    the number of other rows whose text links with this one's, copies of it included.
 
     Two texts link when the Jaccard similarity of their sets of ``words``-word shingles (A-Z lower-cased) is at
     least ``percent`` / 100; the component is the smallest doc_id reachable by links. A text with fewer words is
@@ -148,14 +149,25 @@ def parity_sketch_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         found = map_batches(chosen.select("text"), keyed, "node bigint, text string, n bigint, sketch binary")
         return only(found.where("node is not null"), nodes, "node").dropDuplicates(["node"])
 
-    classes = link_classes(buckets, texts_of, words, percent)
-    own = rows.groupBy("node").agg(F.min("doc_id").alias("least")).where("node is not null")
+    if links:
+        classes, pairs = all_links(buckets, texts_of, words, percent)
+    else:
+        classes = link_classes(buckets, texts_of, words, percent)
+    own = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).where(
+        "node is not null")
     grouped = own.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = grouped.join(smallest, "component").select("node", "component_id")
-    return rows.join(named, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(
-            F.col("doc_id")).alias("component_id"))
+    named = grouped.join(smallest, "component").select("node", "component_id", "copies")
+    columns = ["doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(
+        F.col("doc_id")).alias("component_id")]
+    if links:
+        # a link counts once for every row of the other text
+        ends = pairs.select(F.col("a").alias("at"), F.col("b").alias("node")).union(pairs.select("b", "a"))
+        others = ends.join(own.select("node", "copies"), "node").groupBy(F.col("at").alias("node")).agg(
+            F.sum("copies").alias("others"))
+        named = named.join(others, "node", "left")
+        columns.append(F.coalesce(F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).alias("n_links"))
+    return rows.join(named, "node", "left").select(*columns)
 
 
 def one_of_each_class(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -48,7 +48,7 @@ def op7_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parity_sketch_join(read_table(spark, sf_dir, "documents"), words=4, percent=85)
+    return parity_sketch_join(read_table(spark, sf_dir, "documents"), words=4, percent=85, links=True)
 
 
 def op9_line_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,18 @@ def test_parity_join(documents, texts):
     assert {i: (len(sets[i]), want[i]) for i in texts} == {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()}
 
 
+def test_parity_join_counts_links(spark):
+    """A group of different near copies, copies of one of them, and a text apart: every link is counted."""
+    base = [f"w{i}" for i in range(200)]
+    texts = {i: " ".join(base[:5 * i] + [f"new{i}"] + base[5 * i + 1:]) for i in range(1, 25)}
+    texts |= {i: " ".join(base[:40 + 9 * (i - 30)]) for i in range(30, 48)} | {50: texts[3], 51: texts[3], 60: "apart"}
+    sets = {i: shingles(t, 4) for i, t in texts.items()}
+    want = {i: sum(j != i and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for j in sets) for i in sets}
+    docs = spark.createDataFrame([*texts.items(), (70, None), (71, None)], "doc_id bigint, text string")
+    got = report(parity_join.parity_sketch_join(docs, 4, 85, links=True))
+    assert {i: r["n_links"] for i, r in got.items()} == want | {70: 0, 71: 0} and len(set(want.values())) > 3
+
+
 def test_parity_join_edges(edge, empty):
     rows = parity_join.parity_sketch_join(edge, 4, 85).collect()
     by = defaultdict(list)
