@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapforge.llm import divergence, line_quality, line_runs
+from lapforge.llm import divergence, line_quality, line_runs, segment_search
 from lapforge.llm.html_paths import extract_pages
 from lapforge.llm.kneser_ney import perplexity_report
 from lapforge.llm.latent_leaks import benchmark_leaks
@@ -64,6 +64,10 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_segment_filtering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_search.mining_report(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_row_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_report(read_table(spark, sf_dir, "documents"))
 
@@ -75,10 +79,11 @@ def op13_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_classifier_chain, op2_paragraph_minhash, op3_token_range_coder, op4_tag_path_ratios, op5_line_first_cleaning,
     op6_kneser_ney_perplexity, op7_block_mixing, op8_parity_sketch_join, op9_line_run_dedup,
-    op9_single_line_dedup, op10_latent_decontamination, op12_row_accumulation, op13_pair_index)}
+    op9_single_line_dedup, op10_latent_decontamination, op11_segment_filtering, op12_row_accumulation, op13_pair_index)}
 ORACLES: dict[str, str] = {
     "op5_line_first_cleaning": line_quality.ORACLE,
     "op9_line_run_dedup": line_runs.ORACLE,
     "op9_single_line_dedup": line_runs.SINGLE_ORACLE,
+    "op11_segment_filtering": segment_search.ORACLE,
     "op12_row_accumulation": divergence.ORACLE,
 }
