@@ -88,11 +88,11 @@ def test_mining_against_brute_force(spark, monkeypatch):
 
 def test_mining_of_little_and_of_huge_values(spark):
     assert mined(spark, []) == [] and mined(spark, [(50, [1.0], 1)]) == []
-    huge = [(50, [3e38, 1.0], 1), (51, [3e38, 1.0], 1), (52, [3e18, 1.0], 2), (100, [9e6, 9e6], 3), (101, [8e6, 9e6], 3),
-            (102, [7e6, 7e6], 4)]
+    huge = [(50, [3e38, 1.0], 1), (51, [3e38, 1.0], 1), (52, [3e18, 1.0], 2), (100, [5e6, 5e6], 3), (101, [4e6, 5e6], 3),
+            (102, [3e6, 4e6], 4)]
     got = mined(spark, huge)
     assert [r[:4] for r in got if r[0] == 100] == [(100, 101, 1, 102)]
-    exact = [256 * 9_000_000 * 256 * (8_000_000 + 9_000_000), 256 * 9_000_000 * 256 * 14_000_000]
+    exact = [65_536 * 5_000_000 * 9_000_000, 65_536 * 5_000_000 * 7_000_000]
     assert [list(r[4:]) for r in got if r[0] == 100] == [exact]
     assert all(r[4] == 2 ** 63 - 1 for r in got if r[0] == 50)
 
