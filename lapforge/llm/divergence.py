@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapforge.llm.tables import cut_lineage, map_batches
+from lapforge.llm.tables import broadcast_if_small, cut_lineage, map_batches
 from lapforge.llm.texts import chunks, raw_bytes
 
 MIN_DOCS = 10
@@ -162,6 +162,7 @@ def pair_sums(kept: DataFrame, groups: DataFrame) -> DataFrame:
     sizes = kept.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_POSTINGS)).cast("bigint").alias("blocks"))
     grid = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLAB_GROUPS)).cast("bigint").alias("slabs")).join(
         sizes, "lang", "left").na.fill(1, ["blocks"])
+    grid = broadcast_if_small(cut_lineage(grid, "grid"))  # one row per language, so no join deals out by language
     each = [F.explode(F.expr(f"sequence(0l, {n}s - 1)")).alias(n) for n in ("slab", "block")]
     dealt = kept.join(grid, "lang").select(
         "lang", F.pmod(F.xxhash64("term"), "blocks").alias("block"), each[0], "term", "number", "n")
@@ -219,7 +220,7 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFr
         "number": F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("bigint") - 1,
         "total": F.col("own") + 2 * F.col("v"), "lang_total": F.col("lang_total") + 2 * F.col("v")}), "groups")
 
-    numbered = kept.join(groups.select("lang", "source", "number", "total", "lang_total"), ["lang", "source"])
+    numbered = kept.join(broadcast_if_small(groups.select("lang", "source", "number", "total", "lang_total")), ["lang", "source"])
     sums = pair_sums(numbered.select("lang", "number", "term", "n"), groups.select("lang", "number", "total", "v"))
     names = groups.select("lang", "number", "source")
     pairs = sums.join(names.withColumnsRenamed({"number": "a", "source": "source_a"}), ["lang", "a"]).join(
