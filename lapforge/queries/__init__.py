@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "sessions", "video", "lake", "circuit")
+MODULES = ("cleaning", "sessions", "video", "lake", "circuit", "forests")
 
 
 def load_all():
