@@ -4,12 +4,16 @@ Each category has a linear (logistic) model over words and word beginnings; a la
 probabilities of the earlier ones. Later models are trained on out-of-fold probabilities, so they meet the same
 kind of error in training as in use. Models are fitted on a bounded sample of the labelled rows: the
 ``SAMPLE_ROWS`` labelled documents with the smallest hash of their id. Scoring covers every document.
+
+No word is left out: words and beginnings are hashed into ``BUCKETS`` features, and a feature counts by how much it
+has to do with the category (its chi-squared statistic in the training rows), so the many unrelated ones stay near
+zero without being cut.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,33 +25,54 @@ from lapforge.llm.tables import broadcast_if_small, cut_lineage, map_batches
 
 CATEGORIES = ("quality", "toxic")   # chain order; the last one decides
 SAMPLE_ROWS = 20_000                # bound of the labelled sample
-FEATURES = 1_500                    # features kept for each category
+BUCKETS = 1 << 18
 FOLDS = 5
 STEMS = (4, 5)                      # lengths of word beginnings
+PENALTY = 1e-4
+WEIGHT_CHI = 10.0                   # chi-squared statistic of a feature that counts once
+KNOWN_WORDS = 500_000               # words whose features a worker remembers
 WORD = re.compile(r"\w+")
 
 
 @dataclass
 class Chain:
-    """A fitted chain: feature numbers, one weight vector per category, and the threshold of the last one."""
+    """A fitted chain: one weight vector per category (buckets, earlier categories, intercept), and the threshold of
+    the last one."""
     categories: tuple[str, ...]
-    vocabulary: dict[str, int] = field(default_factory=dict)
     weights: list[np.ndarray] = field(default_factory=list)
     threshold: float = 1.0
 
 
-def tokens(text: str | None) -> set[str]:
-    """Distinct words of a text, lower-cased, and their beginnings (marked by a star)."""
-    words = set(WORD.findall((text or "").lower()))
-    found = set(words)
-    for n in STEMS:
-        found.update(w[:n] + "*" for w in words if len(w) > n)
-    return found
+_KNOWN: dict[str, tuple[int, ...]] = {}
+
+
+def features_of(text: str | None) -> list[int]:
+    """Distinct features of a text, sorted: its lower-cased words and their beginnings (marked by a star)."""
+    found: set[int] = set()
+    for w in set(WORD.findall((text or "").lower())):
+        own = _KNOWN.get(w)
+        if own is None:
+            if len(_KNOWN) >= KNOWN_WORDS:
+                _KNOWN.clear()
+            own = _KNOWN[w] = tuple(zlib.crc32(x.encode()) % BUCKETS for x in (
+                w, *[w[:n] + "*" for n in STEMS if len(w) > n]))
+        found.update(own)
+    return sorted(found)
+
+
+def relevance(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
+    """Root of the chi-squared statistic of every feature and the category, over ``WEIGHT_CHI``."""
+    n = np.bincount(columns, minlength=width).astype(float)
+    hits = np.bincount(columns, weights=y[rows], minlength=width)
+    share = y.mean()
+    chi = (hits - n * share) ** 2 / (n * share * (1 - share) * (1 - n / (len(y) + 1)) + 1e-9)
+    return np.sqrt(chi / WEIGHT_CHI)
 
 
 def fit_logistic(rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int,
-                 steps: int = 250, rate: float = 0.05, l2: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic model by full-batch Adam: ``width`` sparse 0/1 features, dense columns, intercept.
+                 tolerance: float = 3e-4, most: int = 500) -> np.ndarray:
+    """Weights of a logistic model, by limited-memory BFGS until no slope is beyond ``tolerance``: ``width`` sparse 0/1
+    features scaled by their relevance, dense columns, intercept.
 
     Classes weigh the same in total. With one class only, the intercept alone carries the rate.
     """
@@ -58,19 +83,48 @@ def fit_logistic(rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np
         w[-1] = -20.0 if n == 0 or positives == 0 else 20.0
         return w
     weight = np.where(y > 0, 0.5 / positives, 0.5 / (n - positives))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, steps + 1):
-        z = np.bincount(rows, weights=w[columns], minlength=n) + dense @ w[width:width + extra] + w[-1]
+    scale = relevance(rows, columns, y, width)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(rows, weights=(w[:width] * scale)[columns], minlength=n) + dense @ w[width:width + extra] + w[-1]
         g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        grad = np.concatenate([np.bincount(columns, weights=g[rows], minlength=width), g @ dense, [g.sum()]])
-        grad[:-1] += l2 * w[:-1]
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-9)
+        slope = np.concatenate([scale * np.bincount(columns, weights=g[rows], minlength=width), g @ dense, [g.sum()]])
+        slope[:-1] += PENALTY * w[:-1]
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + PENALTY / 2 * (w[:-1] @ w[:-1])), slope
+
+    value, slope = loss(w)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(most):
+        if np.abs(slope).max() < tolerance:
+            break
+        way, shares = -slope, []
+        for step, change, rho in reversed(steps):
+            shares.append(rho * (step @ way))
+            way = way - shares[-1] * change
+        if steps:
+            step, change, _ = steps[-1]
+            way = way * ((step @ change) / (change @ change))
+        for (step, change, rho), share in zip(steps, reversed(shares)):
+            way = way + step * (share - rho * (change @ way))
+        length, descent = (1.0 if steps else 1 / np.linalg.norm(slope)), slope @ way
+        while True:
+            ahead, new = loss(w + length * way)
+            if ahead <= value + 1e-4 * length * descent or length < 1e-12:
+                break
+            length /= 2
+        step, change = length * way, new - slope
+        if step @ change > 1e-14:
+            steps = [*steps, (step, change, 1 / (step @ change))][-8:]
+        w, value, slope = w + step, ahead, new
+    w[:width] *= scale
     return w
 
 
 def margins(features: list, dense: np.ndarray, w: np.ndarray, width: int) -> np.ndarray:
-    sparse = np.array([w[np.asarray(f, np.int64)].sum() if len(f) else 0.0 for f in features])
+    """Margins of rows with lists of features."""
+    lengths = np.array([len(f) for f in features], np.int64)
+    at = np.concatenate([np.asarray(f, np.int64) for f in features] or [np.zeros(0, np.int64)])
+    sparse = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=w[at], minlength=len(lengths))
     return sparse + dense @ w[width:width + dense.shape[1]] + w[-1]
 
 
@@ -102,44 +156,14 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...]
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut_lineage(texts.join(F.broadcast(sample), "doc_id"), "labelled")
 
-    def count(batch):
-        labelled = [batch.column(c).to_pylist() for c in categories]
-        totals, by = Counter(), [Counter() for _ in categories]
-        for i, text in enumerate(batch.column("text")):
-            found = tokens(text.as_py())
-            totals.update(found)
-            for c, values in zip(by, labelled):
-                if values[i] > 0:
-                    c.update(found)
-        yield {"feature": list(totals), "n": list(totals.values()),
-               "positive": [[c[t] for c in by] for t in totals]}
-
-    counts = map_batches(rows.select("text", *categories), count, "feature string, n bigint, positive array<bigint>")
-    counts = counts.groupBy("feature").agg(F.sum("n").alias("n"), *[
-        F.sum(F.col("positive")[i]).alias(c) for i, c in enumerate(categories)]).where("n >= 3")
-    size = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
-    counts = cut_lineage(counts, "features")
-    chosen: set[str] = set()
-    for c in categories:
-        if not size["n"] or not size[c] or size[c] == size["n"]:
-            continue
-        n, p = float(size["n"]), float(size[c])
-        # chi-squared statistic of feature and category
-        a, k = F.col(c).cast("double"), F.col("n").cast("double")
-        chi = (a - k * p / n) ** 2 / (k * (p / n) * (1 - p / n) * (1 - k / (n + 1)) + 1e-9)
-        chosen |= {r.feature for r in counts.orderBy(chi.desc(), "feature").limit(FEATURES).collect()}
-    vocabulary = {t: i for i, t in enumerate(sorted(chosen))}
-    width = len(vocabulary)
-
     def encode(batch):
-        yield {"features": [sorted(vocabulary[t] for t in tokens(x.as_py()) if t in vocabulary)
-                            for x in batch.column("text")],
+        yield {"features": [features_of(x.as_py()) for x in batch.column("text")],
                **{c: batch.column(c) for c in ("doc_id", "fold", *categories)}}
 
     kinds = ", ".join(f"{c} int" for c in ("fold", *categories))
     coded = cut_lineage(map_batches(rows, encode, f"doc_id bigint, features array<int>, {kinds}").withColumn(
         "chain", F.expr("array()").cast("array<double>")), "coded")
-    chain = Chain(tuple(categories), vocabulary)
+    chain, width = Chain(tuple(categories)), BUCKETS
     for position, category in enumerate(categories):
         # one group per fold model, and one (FOLDS) for the model of all rows; each holds the sample at most
         spread = coded.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).where("model <> fold")
@@ -147,13 +171,13 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...]
         def fit(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("doc_id")
             at = np.repeat(np.arange(len(part)), part["features"].map(len).to_numpy())
-            columns = np.concatenate([np.asarray(f, np.int64) for f in part["features"]] or [np.zeros(0, np.int64)])
+            columns = np.concatenate([*part["features"], np.zeros(0, np.int32)]).astype(np.int64)
             dense = np.array([list(x) for x in part["chain"]], float).reshape(len(part), position)
-            w = fit_logistic(at, columns.astype(np.int64), dense, (part[category] > 0).to_numpy(float), width)
-            return pd.DataFrame({"model": [int(part["model"].iloc[0])], "w": [w.tolist()]})
+            w = fit_logistic(at, columns, dense, (part[category] > 0).to_numpy(float), width)
+            return pd.DataFrame({"model": [int(part["model"].iloc[0])], "w": [w.tobytes()]})
 
-        fitted = {r.model: np.array(r.w) for r in spread.groupBy("model").applyInPandas(
-            fit, "model int, w array<double>").collect()}
+        fitted = {r.model: np.frombuffer(r.w) for r in spread.groupBy("model").applyInPandas(
+            fit, "model int, w binary").collect()}  # as many vectors as folds
         nothing = np.zeros(width + position + 1)
         nothing[-1] = -20.0
         chain.weights.append(fitted.get(FOLDS, nothing))
@@ -177,20 +201,18 @@ def score_chain(docs: DataFrame, chain: Chain) -> DataFrame:
 
     A null or empty text has no features; its probabilities are those of the intercepts and it is not toxic.
     """
-    vocabulary, weights, names, threshold = chain.vocabulary, chain.weights, chain.categories, chain.threshold
-    width = len(vocabulary)
+    weights, names, threshold, width = chain.weights, chain.categories, chain.threshold, BUCKETS
 
     def score(batch):
-        features = []
-        for text in batch.column("text"):
-            text = text.as_py()
-            features.append([vocabulary[t] for t in tokens(text) if t in vocabulary] if text else [])
-        z = np.zeros((len(features), 0))
-        for w in weights:
-            z = np.column_stack([z, np.clip(margins(features, z, w, width), -20, 20)])
-        found = np.array([bool(f) for f in features], bool)
-        yield {"doc_id": batch.column("doc_id"), "toxic": (z[:, -1] > threshold) & found,
-               **{f"p_{c}": 1 / (1 + np.exp(-z[:, i])) for i, c in enumerate(names)}}
+        for k in range(0, batch.num_rows, 512):
+            part = batch.slice(k, 512)
+            features = [features_of(x) for x in part.column("text").to_pylist()]
+            z = np.zeros((len(features), 0))
+            for w in weights:
+                z = np.column_stack([z, np.clip(margins(features, z, w, width), -20, 20)])
+            found = np.array([bool(f) for f in features], bool)
+            yield {"doc_id": part.column("doc_id"), "toxic": (z[:, -1] > threshold) & found,
+                   **{f"p_{c}": 1 / (1 + np.exp(-z[:, i])) for i, c in enumerate(names)}}
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(texts, score, "doc_id bigint, toxic boolean, " + ", ".join(f"p_{c} double" for c in names))

@@ -381,13 +381,103 @@ def test_toxicity(spark, edge, empty):
     scored = toxicity.score_chain(docs.where("doc_id % 4 = 1"), toxicity.train_chain(docs, train))
     rows = scored.drop("quality").join(held.withColumnRenamed("toxic", "y"), "doc_id").toPandas()
     bad, good = rows[rows.y > 0], rows[rows.y == 0]
-    assert len(bad) > 50 and bad.toxic.mean() > 0.8 and good.toxic.mean() < 0.01
+    assert len(bad) > 50 and bad.toxic.mean() > 0.85 and good.toxic.mean() < 0.01
     for known in (labels.limit(0), labels.where("toxic = 0").limit(20)):
         chain = toxicity.train_chain(docs, known)
         assert toxicity.score_chain(edge, chain).where("toxic").count() == 0
     assert toxicity.score_chain(edge, chain).count() == len(EDGE) and toxicity.score_chain(empty, chain).collect() == []
 
 
+def test_logistic_model_is_converged():
+    """Against plain gradient descent on a dense table."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(80) < 0.3).astype(float)
+    x = (rng.random((80, 6)) < np.where(np.arange(6) < 2, 0.2 + 0.5 * y[:, None], 0.4)).astype(float)
+    dense = rng.normal(size=(80, 1)) + y[:, None]
+    rows, columns = np.nonzero(x)
+    got = toxicity.fit_logistic(rows, columns, dense, y, 6, tolerance=1e-7)
+    scale, weight = toxicity.relevance(rows, columns, y, 6), np.where(y > 0, 0.5 / y.sum(), 0.5 / (80 - y.sum()))
+    for j in range(6):  # the statistic from its four cells
+        n, share = x[:, j].sum(), y.mean()
+        seen = ((x[:, j] * y).sum() - n * share) ** 2 / (n * share * (1 - share) * (1 - n / 81) + 1e-9)
+        assert abs(scale[j] ** 2 * toxicity.WEIGHT_CHI - seen) < 1e-9
+    full, w = np.column_stack([x * scale, dense, np.ones(80)]), np.zeros(8)
+    for _ in range(40_000):
+        slope = full.T @ (weight * (1 / (1 + np.exp(-full @ w)) - y))
+        w -= 0.5 * (slope + toxicity.PENALTY * np.r_[w[:-1], 0])
+    want = np.r_[w[:6] * scale, w[6:]]
+    assert np.abs(got - want).max() < 1e-2 * np.abs(want).max()
+
+
+def test_chain_step_by_step(spark):
+    """Scores of a tiny table against a plain chain: folds, out-of-fold margins, a second model that sees them."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(90):
+        bad = i % 5 == 0
+        words = [f"w{k}" for k in rng.integers(0, 12, 6)] + (["vile", "rude"] if bad else ["kind"])
+        rows.append((i, " ".join(words), int(i % 3 > 0), int(bad)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, quality int, toxic int")
+    chain = toxicity.train_chain(table.select("doc_id", "text"), table.select("doc_id", "quality", "toxic"))
+    folds = {r.doc_id: r.f for r in table.select("doc_id", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(5)).alias("f")).collect()}
+    fold = np.array([folds[i] for i in range(90)])
+    found = [toxicity.features_of(t) for _, t, _, _ in rows]
+    x = np.zeros((90, toxicity.BUCKETS))
+    for i, f in enumerate(found):
+        x[i, f] = 1
+    before = np.zeros((90, 0))
+    for k, column in enumerate((2, 3)):
+        y = np.array([r[column] for r in rows], float)
+        fit = lambda part: toxicity.fit_logistic(*np.nonzero(x[part]), before[part], y[part], toxicity.BUCKETS)
+        assert np.allclose(chain.weights[k], fit(np.arange(90)), atol=1e-6)
+        z = np.zeros(90)
+        for f in range(5):
+            w = fit(np.flatnonzero(fold != f))
+            z[fold == f] = (x @ w[:toxicity.BUCKETS] + before @ w[toxicity.BUCKETS:-1] + w[-1])[fold == f]
+        before = np.column_stack([before, np.clip(z, -20, 20)])
+    assert np.isclose(chain.threshold, toxicity.best_threshold(np.array([r[3] for r in rows], float), before[:, 1]))
+    scored = {r.doc_id: r for r in toxicity.score_chain(table, chain).collect()}
+    assert all(scored[i].toxic == bool(rows[i][3]) for i in range(90))
+    long = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200_000))), (2, "vile rude " * 100_000), (2, "vile rude")],
+                                 "doc_id bigint, text string")
+    assert [r.toxic for r in toxicity.score_chain(long, chain).orderBy("doc_id").collect()] == [False, True, True]
+
+
+def test_threshold_of_ties():
+    assert toxicity.best_threshold(np.array([1, 1, 0, 0.0]), np.array([2.0, 2, 2, -1])) == 0.5
+    assert toxicity.best_threshold(np.array([1, 0.0]), np.array([3.0, 3])) == 2.0
+    assert toxicity.best_threshold(np.zeros(0), np.zeros(0)) == float("inf")
+
+
+def plain_leak(item, answer, words):
+    """Whether some stretch has enough of item and answer, over all stretches, by the plain recurrence."""
+    for a in range(len(words)):
+        row, last = [0] * (len(item) + 1), [0] * (len(answer) + 1)
+        for b in range(a, len(words)):
+            for table, wanted in ((row, item), (last, answer)):
+                before = 0
+                for j, x in enumerate(wanted):
+                    before, table[j + 1] = table[j + 1], before + 1 if x == words[b] else max(table[j + 1], table[j])
+            if (row[-1] >= latent_leaks.COVER * len(item) and row[-1] >= latent_leaks.PRECISION * (b - a + 1)
+                    and last[-1] >= latent_leaks.ANSWER * len(answer)):
+                return True
+            if b - a + 1 > len(item) / latent_leaks.PRECISION:
+                break
+    return False
+
+
+def test_leaks_of_odd_items(spark):
+    items = [(1, "go go go go go go alpha beta gamma delta"), (2, "Paris"), (3, "the the the"), (4, "one two three four five\nsix")]
+    docs = [(1, "go go go go go go alpha beta gamma delta"), (2, "it is Paris"), (3, "the cat the dog the"), (4, "alpha beta"),
+            (5, "one three four five six"), (6, "go go go go go go beta delta"), (7, "x " * 50_000 + "Paris " + "y " * 50_000),
+            (8, None), (9, "go go go go go go")]
+    got = {(r.doc_id, r.item_id) for r in latent_leaks.benchmark_leaks(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    short = [d for d in docs if d[0] != 7]
+    want = {(i, k) for i, t in short for k, x in items if plain_leak(words_of(x), words_of(latent_leaks.answer_of(x)), words_of(t))}
+    assert {p for p in got if p[0] != 7} == want and (7, 2) in got and {(1, 1), (2, 2), (5, 4)} <= want
+
+
 def test_leaks(spark, documents, texts, edge, empty, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     bench = {r.item_id: r.text for r in items.collect()}
@@ -420,9 +510,7 @@ def test_leaks(spark, documents, texts, edge, empty, sf_dir):
 
 
 def test_leaks_with_rare_words_replaced(spark, documents, sf_dir):
-    """Items without their rarest third of words; expected is what brute force (subsequence and answer) accepts."""
-    import pyarrow as pa
-    from lapforge.llm.texts import word_hashes
+    """Items without their rarest third of words; expected is what brute force over all stretches accepts."""
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     docs = documents.select("doc_id", "text")
     df = Counter(w for r in docs.collect() for w in set(words_of(r.text)))
@@ -431,9 +519,8 @@ def test_leaks_with_rare_words_replaced(spark, documents, sf_dir):
         w = words_of(x, lower=False)
         for i in sorted(range(len(w)), key=lambda i: df[w[i].lower()])[:int(0.35 * len(w))]:
             w[i] = f"zz{k}y{i}"
-        hashes = [word_hashes(pa.array([t]))[0] for t in (x, latent_leaks.answer_of(x), " ".join(w))]
         planted.append((10**6 + k, "Some words before it. " + " ".join(w) + " And a few after.", k))
-        if latent_leaks.check_words(*hashes)[1]:
+        if plain_leak(words_of(x), words_of(latent_leaks.answer_of(x)), words_of(planted[-1][1])):
             want.add((10**6 + k, k))
     more = docs.union(spark.createDataFrame([c[:2] for c in planted], "doc_id bigint, text string"))
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
