@@ -57,7 +57,8 @@ def nearest_in_time(probes: DataFrame, samples: DataFrame, keys: list[str], prob
         *keys, F.col(probe_time).alias("_time"), "_probe")
     both = instants.withColumn("_kind", F.lit(0)).unionByName(
         asked.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
-    sizes = samples.select(*keys).unionByName(probes.select(*keys))
+    sizes = samples.select(*keys, F.col(sample_time).alias("_time")).unionByName(
+        probes.select(*keys, F.col(probe_time).alias("_time")))
     timeline = Timeline.of(both, keys, ["_time", "_kind"], max_group_rows, sizes)
     timeline = timeline.carry({"_before": F.col("_sample")})
     timeline = timeline.carry({"_after": F.col("_sample")}, descending=True)

@@ -1,54 +1,101 @@
 """Ordered scans that stay parallel when one key holds most of the rows.
 
-``Window.partitionBy(session)`` puts a whole session into one task. That is the best plan while
-every group is small, and no plan at all when one group holds a third of a 100 TB table. A
-``Timeline`` therefore measures the groups once and picks one of two layouts:
-
-* small groups: one window per group;
-* large groups: the rows are range partitioned on (keys, order), each range partition is a
-  *segment*, windows run per (keys, segment), and what has to cross a segment border (last known
-  value, row offset) is taken from one summary row per segment.
-
-Both layouts give the same rows; the tests run both on the same input.
+``Window.partitionBy(session)`` puts a whole session into one task, which is no plan when one group holds a third of
+a 100 TB table. A ``Timeline`` cuts groups into *segments* of a bounded number of rows, computed from the order value
+itself: the rows of every group are counted by coarse buckets of that value, buckets with too many rows are counted
+by finer ones, and neighbouring buckets are joined up to segments. Windows run per (keys, segment); what has to cross
+a border (last known value, row offset) is taken from one summary row per segment. A group within the bound is one
+segment, and where that is so for all groups there is no border to cross and nothing to look up.
+
+The rows are neither sampled, nor sorted or stored for that, and move once. The histogram has a row per bucket and is
+read as a lookup, which the optimizer broadcasts by its measured size.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapforge.session import cut_lineage
 
-MAX_GROUP_ROWS = 4_000_000
-MAX_SEGMENTS = 40_000  # beyond it segments grow instead: one shuffle should not have more partitions
+MAX_GROUP_ROWS = 4_000_000  # rows of a segment; up to twice as many where buckets do not divide evenly
+SHIFTS = (36, 24, 12, 0)    # bits that the buckets of numbers and times leave out, level by level
+PREFIX, PREFIXES = 4, 32    # letters that the buckets of texts add on each level, and the number of levels
 CELL = "_cell"
 
 
-_measured: dict[tuple, tuple[int, int]] = {}
-
+_measured: dict[tuple, int] = {}
 
-def largest_group(df: DataFrame, keys: list[str], limit: int) -> tuple[int, int]:
-    """(total rows, rows of the biggest group). Groups are only counted if the total may matter.
 
-    Sizes are remembered per plan. A stale size can pick the slower layout, never a wrong result.
-    """
-    plan = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), limit)
+def total_rows(df: DataFrame) -> int:
+    """Number of rows, remembered per plan. A stale number can cost a lookup, never a wrong result."""
+    plan = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
     if plan not in _measured:
-        total = df.count()
-        biggest = total
-        if total > limit and keys:
-            # counts are combined before the shuffle, so a hot key costs no more than any other
-            biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         if len(_measured) > 1000:
             _measured.clear()
-        _measured[plan] = (total, biggest)
+        _measured[plan] = df.count()
     return _measured[plan]
 
 
+def bucket_levels(df: DataFrame, column: str) -> list[tuple[Column, Column]]:
+    """(bucket, lowest order value of the bucket) for every level of an order column, from coarse to fine.
+
+    Both never fall where the column rises. Columns of other types than numbers, times and texts are one bucket.
+    """
+    value, kind = F.col(column), df.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        return [(F.substring(value, 1, PREFIX * (k + 1)),) * 2 for k in range(PREFIXES)]
+    if isinstance(kind, T.TimestampType):
+        code = F.unix_micros(value)
+    elif isinstance(kind, T.DateType):
+        code = F.unix_date(value).cast("bigint")
+    elif isinstance(kind, T.IntegralType):
+        code = value.cast("bigint")
+    elif isinstance(kind, (T.FractionalType, T.DecimalType)):
+        limit = float(1 << 62)  # thousandths; what is beyond lies in the outer buckets, NaN last
+        code = F.floor(F.greatest(F.lit(-limit), F.least(F.lit(limit), value.cast("double") * 1024)))
+    else:
+        code = F.lit(0).cast("bigint")
+    return [(F.shiftright(code, n), F.shiftleft(F.shiftright(code, n), n)) for n in SHIFTS]
+
+
+def segment_lookups(df: DataFrame, keys: list[str], column: str, rows: int) -> list[tuple[Column, DataFrame]]:
+    """(bucket, (keys, _bucket, _segment)) per level that is needed, for the groups with more than ``rows`` rows.
+
+    Rows with the same value of the first order column are never parted.
+    """
+    levels = bucket_levels(df, column)
+    lean = df.select(*keys, column)
+    crowded, leaves = None, []
+    for level, (bucket, start) in enumerate(levels):
+        part = lean
+        if crowded is not None:
+            above = crowded.select(*keys, F.col("_bucket").alias("_above"))
+            part = join_summary(lean.withColumn("_above", levels[level - 1][0]), above, [*keys, "_above"], "left_semi")
+        counts = part.groupBy(*keys, bucket.alias("_bucket"), start.alias("_start")).agg(F.count(F.lit(1)).alias("_rows"))
+        if crowded is None:
+            counts = counts.withColumn("_all", F.sum("_rows").over(Window.partitionBy(*keys))).where(
+                F.col("_all") > rows).drop("_all")
+        counts = cut_lineage(counts.withColumn("_level", F.lit(level)), "buckets")
+        last = level + 1 == len(levels)
+        leaves.append(counts if last else counts.where(F.col("_rows") <= rows))
+        crowded = counts.where(F.col("_rows") > rows)
+        if last or crowded.isEmpty():
+            break
+    before = Window.partitionBy(*keys).orderBy(F.col("_start").asc_nulls_last(), "_level").rowsBetween(
+        Window.unboundedPreceding, -1)
+    segment = F.floor(F.coalesce(F.sum("_rows").over(before), F.lit(0)) / F.lit(rows)).cast("int")
+    table = reduce(DataFrame.unionByName, leaves).withColumn("_segment", segment)
+    table = cut_lineage(table.select(*keys, "_level", "_bucket", "_segment"), "segments")
+    if table.isEmpty():
+        return []
+    return [(levels[k][0], table.where(F.col("_level") == k).drop("_level")) for k in range(len(leaves))]
+
+
 def join_summary(rows: DataFrame, summary: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi join of rows with one summary row per key; the summary's key columns are dropped.
 
@@ -85,7 +132,7 @@ def cell(keys: list[str], segment: Column) -> Column:
 class Timeline:
     """Rows grouped by ``keys`` and totally ordered by ``order`` inside each group.
 
-    In the segmented layout every row carries its cell, a struct of its keys and its segment. As one
+    Where a group has several segments, every row carries its cell, a struct of its keys and its segment. As one
     column it is NULL-safe under plain equality, so the window, the summary and the join with the
     summary all use the same hash partitioning and the rows move once. Values that are carried may
     only use columns the timeline was built with.
@@ -100,14 +147,19 @@ class Timeline:
     @classmethod
     def of(cls, df: DataFrame, keys: list[str], order: list[str], max_group_rows: int = MAX_GROUP_ROWS,
            measured_on: DataFrame | None = None) -> "Timeline":
-        """``measured_on`` may name a cheaper input whose groups are at least as large."""
-        total, biggest = largest_group(df if measured_on is None else measured_on, keys, max_group_rows)
-        if biggest <= max_group_rows:
+        """``measured_on`` may name a cheaper input that holds at least the same rows (keys and first order column)."""
+        counted = df if measured_on is None else measured_on
+        if total_rows(counted) <= max_group_rows:
+            return cls(df, keys, order)
+        lookups = segment_lookups(counted, keys, order[0], max_group_rows)
+        if not lookups:
             return cls(df, keys, order)
-        parts = min(MAX_SEGMENTS, max(2, math.ceil(total / max_group_rows)))
-        ranged = df.repartitionByRange(parts, *ordering(keys), *ordering(order))
-        # the partition id is only stable once it is written down
-        stamped = cut_lineage(ranged.withColumn(CELL, cell(keys, F.spark_partition_id())), "timeline")
+        stamped = df
+        for level, (bucket, table) in enumerate(lookups):
+            stamped = join_summary(stamped.withColumn("_bucket", bucket), table, [*keys, "_bucket"]).withColumnRenamed(
+                "_segment", f"_segment_{level}").drop("_bucket")
+        found = [f"_segment_{level}" for level in range(len(lookups))]
+        stamped = stamped.withColumn(CELL, cell(keys, F.coalesce(*found, F.lit(0)))).drop(*found)
         return cls(stamped, keys, order, True, stamped)
 
     @classmethod
@@ -118,8 +170,7 @@ class Timeline:
 
         The place is dense, so the segment is arithmetic: nothing is sampled and nothing written.
         """
-        _, biggest = largest_group(df if measured_on is None else measured_on, keys, max_group_rows)
-        if biggest <= max_group_rows:
+        if total_rows(df if measured_on is None else measured_on) <= max_group_rows:
             return cls(df, keys, [part, position])
         block = F.floor(F.col(position) / F.lit(max_group_rows))
         segment = F.struct(F.col(part).alias("part"), block.alias("block"))

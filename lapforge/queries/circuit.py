@@ -49,3 +49,42 @@ FROM grid a JOIN grid b ON a.Year = b.Year AND a.Round = b.Round AND a.Session =
      AND abs(a.cell_x - b.cell_x) <= 1 AND abs(a.cell_y - b.cell_y) <= 1 AND NOT (a.cell_x = b.cell_x AND a.cell_y = b.cell_y)""")
 def edges(spark, sf_dir):
     return grid_edges(cost_grid(cleaned(spark, sf_dir), 25.0)).withColumn("weight", F.round("weight", 6))
+
+
+# the line of a session: the mean place of its samples in strips of 50 units, four strips a corner
+LINE = CLEAN + """, line AS (
+  SELECT Year, Round, Session, strip, concat('T', strip // 4 + 1) AS corner, x, y,
+         lead(x) OVER w AS x2, lead(y) OVER w AS y2
+  FROM (SELECT Year, Round, Session, CAST(floor(X / 50.0::DOUBLE) AS BIGINT) AS strip, round(avg(X::DOUBLE), 3) AS x, round(avg(Y::DOUBLE), 3) AS y
+        FROM clean WHERE X IS NOT NULL AND Y IS NOT NULL GROUP BY ALL)
+  WINDOW w AS (PARTITION BY Year, Round, Session ORDER BY strip)
+), placed AS (
+  SELECT c.Year, c.Round, c.Session, c.Driver, l.corner, l.strip, rid, c.X::DOUBLE AS px, c.Y::DOUBLE AS py, l.x AS ax, l.y AS ay,
+         x2 - l.x AS dx, y2 - l.y AS dy
+  FROM (SELECT *, row_number() OVER () AS rid FROM clean WHERE X IS NOT NULL AND Y IS NOT NULL) c
+  JOIN line l ON c.Year = l.Year AND c.Round = l.Round AND c.Session = l.Session AND l.x2 IS NOT NULL
+), near AS (
+  SELECT *, round(sqrt(pow(px - (ax + part * dx), 2) + pow(py - (ay + part * dy), 2)), 9) AS distance
+  FROM (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) AS part FROM placed)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, strip) = 1)"""
+
+
+@query("d5_line_distance", "WITH " + LINE + """
+SELECT Year, Round, Session, Driver, corner, count(*) AS samples, round(avg(distance), 6) AS mean_distance,
+       round(max(distance), 6) AS max_distance,
+       CASE WHEN avg(distance) <= 60 THEN 'excellent' WHEN avg(distance) <= 90 THEN 'good' WHEN avg(distance) <= 110 THEN 'fair'
+            ELSE 'poor' END AS rating
+FROM near GROUP BY Year, Round, Session, Driver, corner""")
+def line_distance(spark, sf_dir):
+    """Every driver's distance to the session's line, by corner."""
+    from lapforge.operators.racing_line import line_deviation, line_pieces
+    from lapforge.schema import SESSION_KEYS
+    rows = cleaned(spark, sf_dir).select(*DRIVER_KEYS, "X", "Y")
+    strips = rows.where("X is not null and Y is not null").groupBy(
+        *SESSION_KEYS, F.floor(F.col("X") / 50.0).alias("strip")).agg(
+        F.round(F.avg(F.col("X").cast("double")), 3).alias("X"), F.round(F.avg(F.col("Y").cast("double")), 3).alias("Y"))
+    corner = F.concat(F.lit("T"), (F.floor(F.col("strip") / 4) + 1).cast("string"))
+    pieces = line_pieces(strips.withColumn("corner", corner), ["strip"])
+    ratings = (("excellent", 60.0), ("good", 90.0), ("fair", 110.0))
+    return line_deviation(rows, pieces, ratings=ratings).withColumns({
+        "mean_distance": F.round("mean_distance", 6), "max_distance": F.round("max_distance", 6)})

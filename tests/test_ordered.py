@@ -43,10 +43,32 @@ def test_carry_and_previous(spark, limit):
 
 def test_no_segment_gets_much_more_than_its_share(spark):
     line = Timeline.of(skewed(spark), ["k"], ["t", "tie"], 300)
-    biggest = line.rows.groupBy(f"{CELL}.segment").count().agg(F.max("count")).first()[0]
+    biggest = line.rows.groupBy(CELL).count().agg(F.max("count")).first()[0]
     assert biggest < 2 * 300
 
 
+@pytest.mark.parametrize("kind", ["bigint", "double", "timestamp", "string", "date", "decimal(20,3)"])
+def test_segments_follow_the_order_of_every_type(spark, kind):
+    """Values in one narrow crowd and some far outliers: positions as one window gives them, no segment much too large."""
+    value = {"bigint": "id % 900 * (case when id % 50 = 0 then -1000000007L else 1L end)", "double": "id % 900 / 7D - 40",
+             "timestamp": "timestamp_micros(1700000000000000 + id % 900 * 3000)", "string": "concat('frame_', lpad(id % 900, 9, '0'))",
+             "date": "date_add(date'2024-01-01', cast(id % 900 as int))", "decimal(20,3)": "cast(id % 900 as decimal(20,3))"}[kind]
+    df = spark.range(2000).selectExpr("if(id % 4 > 0, 'hot', 'cold') as k", f"if(id % 401 = 5, null, {value}) as t", "id")
+    assert df.schema["t"].dataType.simpleString() == kind
+    line = Timeline.of(df, ["k"], ["t", "id"], 60)
+    sizes = [r["count"] for r in line.rows.groupBy(CELL).count().collect()]
+    assert len(sizes) > 15 and max(sizes) <= 120
+    whole = Timeline.of(df, ["k"], ["t", "id"], 10**6)
+    assert rows_of(line.positions().result()) == rows_of(whole.positions().result())
+
+
+def test_one_instant_stays_together(spark):
+    df = spark.range(500).selectExpr("'a' as k", "if(id < 400, 7L, id) as t", "id")
+    line = Timeline.of(df, ["k"], ["t", "id"], 50)
+    assert sorted(r["count"] for r in line.rows.groupBy(CELL).count().collect())[-1] < 500
+    assert {(r.id, r.position) for r in line.positions().result().collect()} == {(i, i) for i in range(500)}
+
+
 def test_null_keys_and_null_order(spark):
     df = spark.createDataFrame([(None, None, 1, 1.0), (None, 5, 2, None), (None, 3, 3, 2.0), ("a", 1, 4, None)] * 1,
                                "k string, t int, tie int, v double")
