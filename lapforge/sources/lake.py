@@ -47,6 +47,25 @@ def read_optional(spark: SparkSession, path: str) -> DataFrame | None:
     return read_lake(spark, path) if path_exists(spark, path) else None
 
 
+def ledger_path(lake: str) -> str:
+    """The run ledger of a lake: a hidden folder beside its partitions."""
+    return f"{lake.rstrip('/')}/_ledger"
+
+
+def write_ledger(entries: DataFrame, lake: str) -> None:
+    """Add one row per finished session."""
+    entries.write.mode("append").parquet(ledger_path(lake))
+
+
+def read_ledger(spark: SparkSession, lake: str) -> DataFrame | None:
+    """The latest entry of every finished session, or None where no run has kept a ledger."""
+    if not path_exists(spark, ledger_path(lake)):
+        return None
+    entries = spark.read.parquet(ledger_path(lake))
+    return entries.groupBy("session_file").agg(
+        F.max_by(F.struct(*entries.columns), "cleaned_at").alias("entry")).select("entry.*")
+
+
 def write_meta(meta: DataFrame, path: str, mode: str = "append") -> None:
     """One JSON document per (session, driver) run."""
     meta.write.mode(mode).json(path)

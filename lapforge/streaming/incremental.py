@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapforge.operators.clean import clean
+from lapforge.plans.season import ledger_entries
 from lapforge.schema import FILE_ORDER
-from lapforge.sources.lake import write_sessions
+from lapforge.sources.lake import write_ledger, write_sessions
 from lapforge.sources.telemetry import FILE_KEYS, list_files, read_sessions, session_stem
 
 
@@ -17,7 +18,7 @@ def clean_new_files(spark: SparkSession, landing: str, lake: str, ledger: str, s
     The stream carries file names only. Its checkpoint (``ledger``) is the list of files done, so a
     second run without new files adds no batch. A session is cleaned as a whole, with all of its
     files that have landed, and replaces its own partition: replaying a batch is harmless, and a
-    late part file of a session completes it.
+    late part file of a session completes it. The lake's run ledger gets a row per session cleaned.
     """
     files = (spark.readStream.format("binaryFile").schema(
         "path string, modificationTime timestamp, length bigint, content binary")
@@ -34,8 +35,10 @@ def clean_new_files(spark: SparkSession, landing: str, lake: str, ledger: str, s
             return
         session = batch.sparkSession
         landed = list_files(session, landing).withColumn(FILE_KEYS[0], session_stem(F.col("path")))
-        raw = read_sessions(session, landed.join(touched, FILE_KEYS, "left_semi"), landing=True)
+        files = landed.where("length > 0").join(touched, FILE_KEYS, "left_semi")
+        raw = read_sessions(session, files, landing=True)
         write_sessions(clean(raw, FILE_KEYS, FILE_ORDER, scope), lake, ["SessionTime", *FILE_ORDER], spread=False)
+        write_ledger(ledger_entries(raw, files), lake)
 
     stream = (files.writeStream.foreachBatch(run).option("checkpointLocation", ledger)
               .trigger(availableNow=True).start())

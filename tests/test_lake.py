@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapforge.operators.laps import lap_features
-from lapforge.plans.season import clean_season, lake_catalog
+from lapforge.plans.season import clean_season, lake_catalog, ledger_catalog
 from lapforge.session import clear_scratch, cut_lineage, require_shared_folder, run_folder
 from lapforge.sources import lake as io
 from lapforge.sources.lake import path_exists, read_lake
@@ -69,6 +69,46 @@ def test_clean_season_skips_and_forces(spark, landing, tmp_path):
     assert (row.raw_rows, row.row_count, row.rows_dropped) == (49, 44, 5) and row.file_size_mb > 0
 
 
+def test_ledger_stands_for_the_lake(spark, landing, tmp_path, monkeypatch):
+    """One row per session with its rows, bytes and times; a further run neither reads the lake nor the sessions done."""
+    lake = str(tmp_path / "lake")
+    clean_season(spark, landing, lake)
+    rows = {r.session_file: r for r in ledger_catalog(spark, lake).collect()}
+    assert set(rows) == {"2024_1_Q", "2024_2_R", "2023_7_Sprint"}
+    found = rows["2023_7_Sprint"]
+    assert (found.Year, found.Round, found.Session, found.raw_rows, found.row_count, found.rows_dropped) == (2023, 7, "Sprint", 49, 44, 5)
+    file = tmp_path / "landing" / "2023_7_Sprint.parquet"
+    assert round(found.file_size_mb * 1048576) == file.stat().st_size
+    assert abs(found.ingested_at.timestamp() - file.stat().st_mtime) < 1 and found.cleaned_at >= found.ingested_at
+    monkeypatch.setattr(io, "read_optional", None)  # the lake itself is not asked
+    session(30).to_parquet(landing + "/2024_3_Q.parquet")
+    assert clean_season(spark, landing, lake).select("session_file").distinct().count() == 1
+    assert ledger_catalog(spark, lake).count() == 4 and io.read_lake(spark, lake).count() == 234
+    clean_season(spark, landing, lake, force=True)  # entries of later runs count
+    assert ledger_catalog(spark, lake).count() == 4
+    with pytest.raises(FileNotFoundError):
+        ledger_catalog(spark, str(tmp_path / "none"))
+
+
+def test_absent_and_null_columns_differ(spark, tmp_path):
+    """Files of equal types are read in one scan: an absent channel is repaired, an all-NULL one is not, values survive."""
+    whole = session(4).assign(Time=pd.to_timedelta(range(4), unit="s"))
+    whole.to_parquet(tmp_path / "2024_1_Q.parquet")
+    whole.drop(columns=["Speed", "Time", "nGear"]).to_parquet(tmp_path / "2024_2_Q.parquet")
+    whole.assign(Speed=float("nan"), Driver=[None, "7", None, "7"]).astype({"Speed": "float64"}).to_parquet(tmp_path / "2024_3_Q.parquet")
+    whole.drop(columns=["SessionTime", "Driver"]).to_parquet(tmp_path / "2024_4_Q.parquet")
+    rows = read_sessions(spark, str(tmp_path))
+    assert str(rows._jdf.queryExecution().optimizedPlan()).count("Union") == 0
+    by = {r.session_file: r for r in rows.groupBy("session_file").agg(
+        F.collect_set("Speed").alias("speed"), F.collect_set("Driver").alias("driver"), F.max("Time").alias("t"),
+        F.max("SessionTime").alias("st"), F.collect_set("nGear").alias("gear")).collect()}
+    assert [by[f"2024_{k}_Q"].speed for k in (1, 2, 3, 4)] == [[200.0], [0.0], [], [200.0]]
+    assert [by[f"2024_{k}_Q"].driver for k in (1, 2, 3, 4)] == [["1"], ["1"], ["7"], ["UNKNOWN"]]
+    assert {(r.t, r.st) for r in by.values()} == {(3 * 10**9, 3 * 10**9)} and by["2024_2_Q"].gear == [8]
+    bare = read_sessions(spark, str(tmp_path), fill_channels=False).where("session_file = '2024_2_Q'").first()
+    assert bare.Speed is None and bare.nGear == 8
+
+
 def test_other_file_names_keep_their_own_partition(spark, tmp_path):
     folder = tmp_path / "landing"
     folder.mkdir()
