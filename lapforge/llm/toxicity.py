@@ -5,15 +5,15 @@ probabilities of the earlier ones. Later models are trained on out-of-fold proba
 kind of error in training as in use. Models are fitted on a bounded sample of the labelled rows: the
 ``SAMPLE_ROWS`` labelled documents with the smallest hash of their id. Scoring covers every document.
 
-No word is left out: words and beginnings are hashed into ``BUCKETS`` features, and a feature counts by how much it
-has to do with the category (its chi-squared statistic in the training rows), so the many unrelated ones stay near
-zero without being cut.
+No word of the sample is left out: every word and beginning is a feature, known by a 64-bit hash, and counts by how
+much it has to do with the category (its chi-squared statistic in the training rows), so the many unrelated ones stay
+near zero without being cut.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from hashlib import blake2b
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +25,6 @@ from lapforge.llm.tables import broadcast_if_small, cut_lineage, map_batches
 
 CATEGORIES = ("quality", "toxic")   # chain order; the last one decides
 SAMPLE_ROWS = 20_000                # bound of the labelled sample
-BUCKETS = 1 << 18
 FOLDS = 5
 STEMS = (4, 5)                      # lengths of word beginnings
 PENALTY = 1e-4
@@ -36,28 +35,52 @@ WORD = re.compile(r"\w+")
 
 @dataclass
 class Chain:
-    """A fitted chain: one weight vector per category (buckets, earlier categories, intercept), and the threshold of
-    the last one."""
+    """A fitted chain: the features known, one weight vector per category (features, earlier categories, intercept), and
+    the threshold of the last one."""
     categories: tuple[str, ...]
+    vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # hashes, sorted
     weights: list[np.ndarray] = field(default_factory=list)
     threshold: float = 1.0
 
 
-_KNOWN: dict[str, tuple[int, ...]] = {}
+def hashes_of(word: str) -> tuple[int, ...]:
+    """Hashes of a word and of its beginnings (marked by a star)."""
+    return tuple(int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
+                 for x in (word, *[word[:n] + "*" for n in STEMS if len(word) > n]))
 
 
-def features_of(text: str | None) -> list[int]:
-    """Distinct features of a text, sorted: its lower-cased words and their beginnings (marked by a star)."""
-    found: set[int] = set()
-    for w in set(WORD.findall((text or "").lower())):
-        own = _KNOWN.get(w)
-        if own is None:
-            if len(_KNOWN) >= KNOWN_WORDS:
-                _KNOWN.clear()
-            own = _KNOWN[w] = tuple(zlib.crc32(x.encode()) % BUCKETS for x in (
-                w, *[w[:n] + "*" for n in STEMS if len(w) > n]))
-        found.update(own)
-    return sorted(found)
+def words_of(text: str | None) -> set[str]:
+    return set(WORD.findall((text or "").lower()))
+
+
+class Features:
+    """Feature numbers of texts: places in a sorted vocabulary of hashes; other words have none."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def learn(self, words: list[str]) -> None:
+        found = [hashes_of(w) for w in words]
+        flat = np.array([h for own in found for h in own], np.int64)
+        at = np.searchsorted(self.vocabulary, flat)
+        at[at == len(self.vocabulary)] = 0
+        hit = self.vocabulary[at] == flat if len(self.vocabulary) else np.zeros(len(flat), bool)
+        places, k = np.where(hit, at, -1).tolist(), 0
+        for word, own in zip(words, found):
+            self.known[word] = tuple(p for p in places[k:k + len(own)] if p >= 0)
+            k += len(own)
+
+    def rows(self, texts: list[str | None]) -> list[list[int]]:
+        """Distinct feature numbers of each text, sorted."""
+        words = [words_of(t) for t in texts]
+        new = set().union(*words) - self.known.keys()
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self.known.clear()
+            new = set().union(*words)
+        self.learn(sorted(new))
+        known = self.known
+        return [sorted(set().union(*[known[w] for w in own])) for own in words]
 
 
 def relevance(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
@@ -156,14 +179,22 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...]
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut_lineage(texts.join(F.broadcast(sample), "doc_id"), "labelled")
 
+    def collect_hashes(batch):
+        yield {"hash": sorted({h for w in set().union(*map(words_of, batch.column("text").to_pylist())) for h in hashes_of(w)})}
+
+    # the words of the bounded sample
+    vocabulary = map_batches(rows.select("text"), collect_hashes, "hash bigint").distinct().toPandas()["hash"].to_numpy(np.int64)
+    vocabulary = np.sort(vocabulary)
+
     def encode(batch):
-        yield {"features": [features_of(x.as_py()) for x in batch.column("text")],
+        of = Features(vocabulary)
+        yield {"features": of.rows(batch.column("text").to_pylist()),
                **{c: batch.column(c) for c in ("doc_id", "fold", *categories)}}
 
     kinds = ", ".join(f"{c} int" for c in ("fold", *categories))
     coded = cut_lineage(map_batches(rows, encode, f"doc_id bigint, features array<int>, {kinds}").withColumn(
         "chain", F.expr("array()").cast("array<double>")), "coded")
-    chain, width = Chain(tuple(categories)), BUCKETS
+    chain, width = Chain(tuple(categories), vocabulary), len(vocabulary)
     for position, category in enumerate(categories):
         # one group per fold model, and one (FOLDS) for the model of all rows; each holds the sample at most
         spread = coded.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).where("model <> fold")
@@ -201,12 +232,15 @@ def score_chain(docs: DataFrame, chain: Chain) -> DataFrame:
 
     A null or empty text has no features; its probabilities are those of the intercepts and it is not toxic.
     """
-    weights, names, threshold, width = chain.weights, chain.categories, chain.threshold, BUCKETS
+    weights, names, threshold, vocabulary = chain.weights, chain.categories, chain.threshold, chain.vocabulary
+    width, states = len(vocabulary), []
 
     def score(batch):
+        if not states:  # once for a task
+            states.append(Features(vocabulary))
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
-            features = [features_of(x) for x in part.column("text").to_pylist()]
+            features = states[0].rows(part.column("text").to_pylist())
             z = np.zeros((len(features), 0))
             for w in weights:
                 z = np.column_stack([z, np.clip(margins(features, z, w, width), -20, 20)])

@@ -421,19 +421,21 @@ def test_chain_step_by_step(spark):
     chain = toxicity.train_chain(table.select("doc_id", "text"), table.select("doc_id", "quality", "toxic"))
     folds = {r.doc_id: r.f for r in table.select("doc_id", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(5)).alias("f")).collect()}
     fold = np.array([folds[i] for i in range(90)])
-    found = [toxicity.features_of(t) for _, t, _, _ in rows]
-    x = np.zeros((90, toxicity.BUCKETS))
+    found = toxicity.Features(chain.vocabulary).rows([t for _, t, _, _ in rows])
+    width = len(chain.vocabulary)
+    assert width == 12 + 3  # all words of the table, none of which has a beginning of its own
+    x = np.zeros((90, width))
     for i, f in enumerate(found):
         x[i, f] = 1
     before = np.zeros((90, 0))
     for k, column in enumerate((2, 3)):
         y = np.array([r[column] for r in rows], float)
-        fit = lambda part: toxicity.fit_logistic(*np.nonzero(x[part]), before[part], y[part], toxicity.BUCKETS)
+        fit = lambda part: toxicity.fit_logistic(*np.nonzero(x[part]), before[part], y[part], width)
         assert np.allclose(chain.weights[k], fit(np.arange(90)), atol=1e-6)
         z = np.zeros(90)
         for f in range(5):
             w = fit(np.flatnonzero(fold != f))
-            z[fold == f] = (x @ w[:toxicity.BUCKETS] + before @ w[toxicity.BUCKETS:-1] + w[-1])[fold == f]
+            z[fold == f] = (x @ w[:width] + before @ w[width:-1] + w[-1])[fold == f]
         before = np.column_stack([before, np.clip(z, -20, 20)])
     assert np.isclose(chain.threshold, toxicity.best_threshold(np.array([r[3] for r in rows], float), before[:, 1]))
     scored = {r.doc_id: r for r in toxicity.score_chain(table, chain).collect()}
