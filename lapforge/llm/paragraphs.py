@@ -154,21 +154,20 @@ def _clusters(docs: DataFrame, words: int, percent: int, min_words: int, row=Non
     bands = map_batches(docs.select("text"), keys, "key bigint, node bigint").repartition("key").distinct()
     buckets = cut_lineage(shared_buckets(bands), "buckets")
 
-    def texts_of(nodes: DataFrame) -> DataFrame:
+    def sets_of(nodes: DataFrame) -> DataFrame:
         def lines(batch):
             for i, j in chunks(batch.column("text")):
                 text = batch.column("text").slice(i, j - i)
-                _, _, _, bounds, flat, starts, ends, _ = line_shingles(text, words, min_words)
-                data = raw_bytes(text)[0].tobytes()
+                _, _, _, bounds, flat, *_ = line_shingles(text, words, min_words)
                 node = codes_of(bounds, flat)
                 _, once = np.unique(node, return_index=True)
-                yield {"node": node[once], "text": [data[starts[k]:ends[k]].decode("utf-8", "replace") for k in once],
-                       "n": np.diff(bounds)[once],
-                       "sketch": [bit_sketch(flat[bounds[k]:bounds[k + 1]]) for k in once]}
-        found = map_batches(docs.select("text"), lines, "node bigint, text string, n bigint, sketch binary")
+                sets = [flat[bounds[k]:bounds[k + 1]] for k in once]
+                yield {"node": node[once], "n": np.diff(bounds)[once], "sketch": [bit_sketch(s) for s in sets],
+                       "shingles": [s.tobytes() for s in sets]}
+        found = map_batches(docs.select("text"), lines, "node bigint, n bigint, sketch binary, shingles binary")
         return only(found, nodes, "node").dropDuplicates(["node"])
 
-    classes = link_classes(buckets, texts_of, words, percent)
+    classes, _ = link_classes(buckets, sets_of, percent)
     placed = rows.where("line_no >= 0")
     of = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("first"))
     of = of.join(classes, "node", "left").withColumn("cluster", F.coalesce("component", "node"))

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapforge.llm.near_links import all_links, bit_sketch, link_classes, only, shared_buckets
+from lapforge.llm.near_links import bit_sketch, count_links, link_classes, only, shared_buckets
 from lapforge.llm.tables import broadcast_if_small, cut_lineage, map_batches
 from lapforge.llm.texts import chunks, mix, mix_int, shingle_sets
 
@@ -135,7 +135,7 @@ def parity_sketch_join(docs: DataFrame, words: int = 5, percent: int = 80, links
     sketches = map_batches(docs.select("text"), keys, "key bigint, node bigint").repartition("key").distinct()
     buckets = cut_lineage(shared_buckets(sketches), "buckets")
 
-    def texts_of(nodes: DataFrame) -> DataFrame:
+    def sets_of(nodes: DataFrame) -> DataFrame:
         first = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
         chosen = only(docs, first.where("doc_id is not null").select("doc_id"), "doc_id").union(
             docs.where("doc_id is null"))
@@ -144,15 +144,12 @@ def parity_sketch_join(docs: DataFrame, words: int = 5, percent: int = 80, links
             for i, j in chunks(batch.column("text")):
                 text = batch.column("text").slice(i, j - i)
                 sets = list(shingle_sets(text, words))
-                yield {"node": [set_code(s) if len(s) else None for s in sets], "text": text,
-                       "n": [len(s) for s in sets], "sketch": [bit_sketch(s) for s in sets]}
-        found = map_batches(chosen.select("text"), keyed, "node bigint, text string, n bigint, sketch binary")
+                yield {"node": [set_code(s) if len(s) else None for s in sets], "n": [len(s) for s in sets],
+                       "sketch": [bit_sketch(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
+        found = map_batches(chosen.select("text"), keyed, "node bigint, n bigint, sketch binary, shingles binary")
         return only(found.where("node is not null"), nodes, "node").dropDuplicates(["node"])
 
-    if links:
-        classes, pairs = all_links(buckets, texts_of, words, percent)
-    else:
-        classes = link_classes(buckets, texts_of, words, percent)
+    classes, sets = link_classes(buckets, sets_of, percent)
     own = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).where(
         "node is not null")
     grouped = own.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -162,9 +159,7 @@ def parity_sketch_join(docs: DataFrame, words: int = 5, percent: int = 80, links
         F.col("doc_id")).alias("component_id")]
     if links:
         # a link counts once for every row of the other text
-        ends = pairs.select(F.col("a").alias("at"), F.col("b").alias("node")).union(pairs.select("b", "a"))
-        others = ends.join(own.select("node", "copies"), "node").groupBy(F.col("at").alias("node")).agg(
-            F.sum("copies").alias("others"))
+        others = count_links(classes, sets, own.select("node", "copies"), percent)
         named = named.join(others, "node", "left")
         columns.append(F.coalesce(F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).alias("n_links"))
     return rows.join(named, "node", "left").select(*columns)

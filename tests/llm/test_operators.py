@@ -135,6 +135,29 @@ def test_parity_join_counts_links(spark):
     assert {i: r["n_links"] for i, r in got.items()} == want | {70: 0, 71: 0} and len(set(want.values())) > 3
 
 
+@pytest.mark.parametrize("block, dense", [(512, 16), (7, 0), (7, 10**9)])
+def test_links_in_blocks(spark, monkeypatch, block, dense):
+    """Classes cut into several blocks, intersections by matrices and one by one."""
+    from lapforge.llm import near_links
+    for name, value in (("BLOCK", block), ("DENSE_PAIRS", dense), ("COLUMNS", 50)):
+        monkeypatch.setattr(near_links, name, value)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(60):
+        w = list(base)
+        for k in rng.integers(0, 150, int(rng.integers(0, 5))):
+            w[k] = f"z{i}x{k}"
+        texts[i] = " ".join(w[int(rng.integers(0, 9)):])
+    texts |= {100: texts[5], 101: texts[5], 102: "few words"}
+    sets = {i: shingles(t, 4) for i, t in texts.items()}
+    want = {i: sum(j != i and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for j in sets) for i in sets}
+    got = report(parity_join.parity_sketch_join(spark.createDataFrame([*texts.items()], "doc_id bigint, text string"), 4, 85, links=True))
+    assert {i: r["n_links"] for i, r in got.items()} == want and len(set(want.values())) > 8
+    force = classes_by_force(sets, 85)
+    assert {i: r["component_id"] for i, r in got.items()} == {i: force[i] for i in sets}
+
+
 def test_parity_join_edges(edge, empty):
     rows = parity_join.parity_sketch_join(edge, 4, 85).collect()
     by = defaultdict(list)
