@@ -20,9 +20,13 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def reference_drivers(df: DataFrame, keys: list[str] = SESSION_KEYS) -> DataFrame:
     """Driver with the highest mean speed per session, the smaller code on a tie."""
-    means = df.where(F.col("Driver").isNotNull()).groupBy(*keys, "Driver").agg(
-        F.avg("Speed").cast("float").alias("mean_speed"))
-    best = first_by(means.where(F.col("mean_speed").isNotNull()), keys,
+    means = df.groupBy(*keys, "Driver").agg(F.avg("Speed").cast("float").alias("mean_speed"))
+    return fastest_of(means, keys)
+
+
+def fastest_of(means: DataFrame, keys: list[str] = SESSION_KEYS) -> DataFrame:
+    """The same from one row per driver with ``mean_speed``."""
+    best = first_by(means.where("Driver is not null and mean_speed is not null").select(*keys, "Driver", "mean_speed"), keys,
                     [F.col("mean_speed").desc(), F.col("Driver").asc()])
     return best.withColumnRenamed("Driver", "reference_driver")
 
@@ -69,15 +73,28 @@ def mistake_rate(mistakes: Column, total: Column) -> Column:
     return F.when(total > 0, round_cents(mistakes / total * 100)).otherwise(F.lit(0.0))
 
 
-def mistake_summary(annotated: DataFrame, keys: list[str] = DRIVER_KEYS) -> DataFrame:
-    """Mistake counts, the two named kinds and the mistake rate."""
+def _mistake_counts() -> list[Column]:
     flagged = F.col("is_mistake")
-    return annotated.groupBy(*keys).agg(
+    return [
         F.count(F.lit(1)).alias("total_rows"),
         F.count_if(flagged).alias("total_mistakes"),
         F.count_if(flagged & (F.col("brake_intensity") > 0.5)).alias("brake_override"),
         F.count_if(flagged & (F.col("throttle_intensity") < 0.2)
                    & (F.col("speed_delta") < -5)).alias("throttle_slip"),
+    ]
+
+
+def mistake_summary(annotated: DataFrame, keys: list[str] = DRIVER_KEYS) -> DataFrame:
+    """Mistake counts, the two named kinds and the mistake rate."""
+    return annotated.groupBy(*keys).agg(*_mistake_counts()).withColumn(
+        "mistake_rate_pct", mistake_rate(F.col("total_mistakes"), F.col("total_rows")))
+
+
+def driver_facts(annotated: DataFrame, keys: list[str] = DRIVER_KEYS) -> DataFrame:
+    """The mistake summary with top and mean speed: all that panels, reports and the reference choice need, in one pass."""
+    return annotated.groupBy(*keys).agg(
+        *_mistake_counts(), F.coalesce(F.max("Speed").cast("double"), F.lit(0.0)).alias("top_speed"),
+        F.avg("Speed").cast("float").alias("mean_speed"),
     ).withColumn("mistake_rate_pct", mistake_rate(F.col("total_mistakes"), F.col("total_rows")))
 
 

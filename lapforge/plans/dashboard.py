@@ -41,9 +41,14 @@ def driver_options(telemetry: DataFrame) -> DataFrame:
 
 
 def header_bar(telemetry: DataFrame, laps: DataFrame, meta: DataFrame) -> DataFrame:
-    """One KPI row per session and driver; a dash where the anomaly job or the laps have nothing."""
-    top = telemetry.groupBy(*DRIVER_KEYS).agg(
-        F.coalesce(F.max("Speed").cast("double"), F.lit(0.0)).alias("_top"))
+    """One KPI row per session and driver; a dash where the anomaly job or the laps have nothing.
+
+    ``telemetry``: cleaned rows, or one row per driver with ``top_speed`` (``kpi.driver_facts``), which spares a scan.
+    """
+    if "top_speed" in telemetry.columns:
+        top = telemetry.select(*DRIVER_KEYS, F.col("top_speed").alias("_top"))
+    else:
+        top = telemetry.groupBy(*DRIVER_KEYS).agg(F.coalesce(F.max("Speed").cast("double"), F.lit(0.0)).alias("_top"))
     wide = join_summary(join_summary(top, K.fastest_laps(laps).drop("fastest_lap"), DRIVER_KEYS), meta.select(
         *DRIVER_KEYS, "mistake_rate_pct", "total_mistakes", "reference_driver", "best_contamination"), DRIVER_KEYS)
     named = L.with_team_names(L.with_driver_names(L.with_driver_names(
@@ -85,12 +90,13 @@ def mistake_points(annotated: DataFrame) -> DataFrame:
         *DRIVER_KEYS, "SessionTime", "X", "Y", "Speed", "anomaly_score")
 
 
-def ai_summary(annotated: DataFrame, meta: DataFrame) -> DataFrame:
-    """Anomaly counts and the caption of the analysis panel."""
-    kinds = K.mistake_summary(annotated).select(*DRIVER_KEYS, "brake_override", "throttle_slip")
-    known = meta.drop("brake_override", "throttle_slip")
-    named = L.with_driver_names(join_summary(known, kinds, DRIVER_KEYS, "inner"), F.col("reference_driver"),
-                                key="reference_driver", name="_reference")
+def ai_summary(annotated: DataFrame | None, meta: DataFrame) -> DataFrame:
+    """Anomaly counts and the caption of the analysis panel; without annotated rows, ``meta`` holds the two named kinds."""
+    known = meta
+    if annotated is not None:
+        kinds = K.mistake_summary(annotated).select(*DRIVER_KEYS, "brake_override", "throttle_slip")
+        known = join_summary(meta.drop("brake_override", "throttle_slip"), kinds, DRIVER_KEYS, "inner")
+    named = L.with_driver_names(known, F.col("reference_driver"), key="reference_driver", name="_reference")
     return named.withColumns({
         "caption": F.format_string("contamination=%.2f · %d anomalies (%s) · ref: %s", "best_contamination",
                                    "total_mistakes", S.percent_text(F.col("mistake_rate_pct")), "_reference"),

@@ -11,7 +11,7 @@ from lapforge.operators import kpi as K
 from lapforge.operators import lookup as L
 from lapforge.operators.sampling import sort_rows
 from lapforge.plans.dashboard import (
-    ai_summary, driver_options, header_bar, mistake_points, score_bars, session_options, track_map,
+    ai_summary, driver_options, header_bar, mistake_points, score_bars, session_options, telemetry_series, track_map,
 )
 from lapforge.queries.cleaning import cleaned, featured
 from lapforge.queries.registry import ORACLES, query
@@ -19,6 +19,7 @@ from lapforge.queries.views import (
     CLEAN, FEATURES, LAPS, ORDER, SCHEDULE, SESSION, TELEMETRY, laps, schedule, table, telemetry,
 )
 from lapforge.schema import DRIVER_KEYS
+from lapforge.session import cut_lineage
 
 
 def sql_text(value: str) -> str:
@@ -59,10 +60,16 @@ def annotated(spark, sf_dir) -> DataFrame:
     })
 
 
-def run_meta(spark, sf_dir) -> DataFrame:
+def facts(spark, sf_dir) -> DataFrame:
+    """One row per driver from one pass over the stand-in output, stored as several steps read it."""
+    return cut_lineage(K.driver_facts(annotated(spark, sf_dir)), "facts")
+
+
+def run_meta(spark, sf_dir, of: DataFrame | None = None) -> DataFrame:
     """Run metadata per driver for the stand-in output."""
-    refs = K.reference_drivers(cleaned(spark, sf_dir)).drop("mean_speed")
-    return K.mistake_summary(annotated(spark, sf_dir)).join(refs, SESSION).withColumns({
+    of = facts(spark, sf_dir) if of is None else of
+    refs = K.fastest_of(of).drop("mean_speed")
+    return of.drop("top_speed", "mean_speed").join(refs, SESSION).withColumns({
         "best_contamination": F.lit(0.12), "best_cv_score": F.lit(0.0625)})
 
 
@@ -169,8 +176,8 @@ FROM top t LEFT JOIN fastest f USING (Year, Round, Session, Driver)
 LEFT JOIN (SELECT * FROM meta WHERE Driver <> '5') m USING (Year, Round, Session, Driver)
 LEFT JOIN drivers d ON d.Driver = t.Driver LEFT JOIN drivers r ON r.Driver = m.reference_driver""")
 def header(spark, sf_dir):
-    meta = run_meta(spark, sf_dir).where("Driver <> '5'")
-    return header_bar(cleaned(spark, sf_dir), laps(spark, sf_dir), meta)
+    of = facts(spark, sf_dir)
+    return header_bar(of, laps(spark, sf_dir), run_meta(spark, sf_dir, of).where("Driver <> '5'"))
 
 
 @query("j1_j2_driver_dimensions", "WITH " + TELEMETRY + ", " + DRIVERS + """
@@ -428,5 +435,58 @@ SELECT m.Year, m.Round, m.Session, m.Driver, m.total_mistakes, m.brake_override,
        printf('%.4f', m.best_cv_score) AS kfold_score
 FROM meta m LEFT JOIN drivers d ON d.Driver = m.reference_driver""")
 def ai_panel(spark, sf_dir):
-    return ai_summary(annotated(spark, sf_dir), run_meta(spark, sf_dir)).select(
+    return ai_summary(None, run_meta(spark, sf_dir)).select(
         *DRIVER_KEYS, "total_mistakes", "brake_override", "throttle_slip", "caption", "kfold_score")
+
+
+@query("p14_p18_telemetry_series", "WITH " + CLEAN + """, timed AS (
+  SELECT *, SessionTime / 1000000000.0::DOUBLE AS session_s FROM clean WHERE Driver IN ('4', '11')
+), chosen AS (
+  SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY Year, Round, Session, Driver) AS n
+  FROM timed WHERE session_s <= 3000
+  WINDOW w AS (PARTITION BY Year, Round, Session, Driver ORDER BY SessionTime, tie)
+), thin AS (SELECT * FROM chosen WHERE n <= 100 OR pos % (n // 100) = 0 OR pos = n - 1)
+SELECT Year, Round, Session, Driver, CASE WHEN Driver = '4' THEN 'primary' ELSE 'compare' END AS role, session_s, channel, value
+FROM (SELECT Year, Round, Session, Driver, session_s, 'Speed' AS channel, Speed::DOUBLE AS value FROM thin
+  UNION ALL SELECT Year, Round, Session, Driver, session_s, 'Throttle', Throttle::DOUBLE FROM thin
+  UNION ALL SELECT Year, Round, Session, Driver, session_s, 'Brake', Brake::DOUBLE FROM thin
+  UNION ALL SELECT Year, Round, Session, Driver, session_s, 'nGear', nGear::DOUBLE FROM thin
+  UNION ALL SELECT Year, Round, Session, Driver, session_s, 'RPM', RPM::DOUBLE FROM thin)""")
+def scrubbed_series(spark, sf_dir):
+    """Chart series of two drivers up to the scrub time, thinned per driver."""
+    rows = telemetry_series(cleaned(spark, sf_dir), ["4", "11"], 3000.0, ORDER, max_points=100)
+    return rows.select(*DRIVER_KEYS, "role", "session_s", "channel", "value")
+
+
+@query("f8_thousands", """
+SELECT o_orderkey, format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)) AS price_text,
+       format('{:,}', o_orderkey * 1000003) AS key_text FROM orders""")
+def thousands_texts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", S.thousands(F.bround("o_totalprice", 0)).alias("price_text"),
+        S.thousands(F.col("o_orderkey") * 1000003).alias("key_text"))
+
+
+@query("s16_config_circuits", "WITH circuits(name, lat, lon) AS (VALUES " + ", ".join(
+    f"({sql_text(n)}, {a}::DOUBLE, {b}::DOUBLE)" for n, a, b in dims.CIRCUITS) + """), places AS (
+  SELECT n_nationkey, n_name, CAST(n_nationkey * 7 % 180 - 90 AS DOUBLE) AS lat, CAST(n_nationkey * 13 % 360 - 180 AS DOUBLE) AS lon FROM nation)
+SELECT p.n_nationkey, c.name AS circuit, round(pow(p.lat - c.lat, 2) + pow(p.lon - c.lon, 2), 6) AS gap FROM places p, circuits c
+QUALIFY row_number() OVER (PARTITION BY p.n_nationkey ORDER BY round(pow(p.lat - c.lat, 2) + pow(p.lon - c.lon, 2), 6), c.name) = 1""")
+def circuit_of_nation(spark, sf_dir):
+    """The circuit table of a config document, read back from a file: the circuit nearest to a place of each nation."""
+    import json
+    import tempfile
+
+    from lapforge.config import Settings
+    with tempfile.NamedTemporaryFile("w", suffix=".json", encoding="utf-8") as document:  # read by this process alone
+        json.dump({"paths": {}, "data": {"circuits": [dict(zip(("name", "lat", "lon"), c)) for c in dims.CIRCUITS]}}, document)
+        document.flush()
+        config = Settings.from_file(document.name)
+    listed = F.array(*[F.struct(F.lit(c["name"]).alias("name"), F.lit(c["lat"]).alias("lat"), F.lit(c["lon"]).alias("lon"))
+                       for c in config.circuits])
+    every = table(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey", "cast(n_nationkey * 7 % 180 - 90 as double) as at_lat", "cast(n_nationkey * 13 % 360 - 180 as double) as at_lon"
+    ).select("*", F.inline(listed))
+    gap = F.round(F.pow(F.col("at_lat") - F.col("lat"), 2) + F.pow(F.col("at_lon") - F.col("lon"), 2), 6)
+    return every.groupBy("n_nationkey").agg(F.min(F.struct(gap.alias("gap"), "name")).alias("best")).select(
+        "n_nationkey", F.col("best.name").alias("circuit"), F.col("best.gap").alias("gap"))
