@@ -22,7 +22,7 @@ SHARD_SLOTS = 1_024   # blocks of an output shard
 MOST_REPEATS = 3      # a target is at most so many times its source
 SEED = 20_240
 ROUNDS = 24           # of the permutation
-SEGMENT = 4_096       # rows of a segment of a running sum, on average
+SEGMENT = 65_536      # rows of a part of a running sum, on average
 SPACE = r"[ \t\n\x0B\f\r]+"
 
 
@@ -40,23 +40,25 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(rounds, index.cast("bigint"), step)
 
 
-def running_sum(rows: DataFrame, key: str, order: list[str], place: str, value: str, out: str) -> DataFrame:
-    """Sum of ``value`` over the earlier rows of the same ``key``, in two levels: inside segments of ``place`` (a
-    number that follows the order, null last) and over the segment totals, so no hot key is sorted in one task."""
-    span = rows.agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count(place).alias("n")).first()
-    width = 1
-    if span["n"]:
-        width = max(1, (span["hi"] - span["lo"] + 1) // max(1, math.ceil(span["n"] / SEGMENT)))
-    lo = span["lo"] or 0
-    segment = F.when(F.col(place).isNotNull(), F.floor((F.col(place).cast("decimal(20,0)") - lo) / width).cast("bigint"))
-    cut = rows.withColumn("_segment", F.coalesce(segment, F.lit(2**62)))
-    totals = cut.groupBy(key, "_segment").agg(F.sum(value).alias("_total"))
-    ahead = Window.partitionBy(key).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+def running_sum(rows: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the same ``key``, nulls of ``order`` last, which has to be total.
+
+    The rows are dealt by ranges of key and order, so neither a hot key, outlying values nor many nulls make one
+    task large; sums run inside the parts and over the totals of the parts.
+    """
+    ordered = [F.col(c).asc_nulls_last() for c in order]
+    n = rows.count()
+    # the parts of a key meet in one task: their number grows with the root of the rows
+    parts = max(1, math.ceil(n / max(SEGMENT, math.isqrt(n))))
+    dealt = rows.repartitionByRange(parts, F.col(key), *ordered).withColumn("_part", F.spark_partition_id())
+    cut = cut_lineage(dealt, "parts")  # a part's number holds once it is written down
+    totals = cut.groupBy(key, "_part").agg(F.sum(value).alias("_total"))
+    ahead = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_ahead", F.coalesce(F.sum("_total").over(ahead), F.lit(0))).drop("_total")
-    inside = Window.partitionBy(key, "_segment").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "_part").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)
     cut = cut.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return cut.join(totals, [key, "_segment"]).withColumn(out, (F.col("_ahead") + F.col("_inside")).cast("bigint")).drop(
-        "_segment", "_ahead", "_inside")
+    return cut.join(totals, [key, "_part"]).withColumn(out, (F.col("_ahead") + F.col("_inside")).cast("bigint")).drop(
+        "_part", "_ahead", "_inside")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -85,57 +87,54 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         F.col("weight") * F.col("_level._left") / F.col("_level._weights")).cast("double").alias("target"))
 
 
-def _find(bounds: Column, value: Column, steps: int) -> Column:
-    """How many of the ascending ``bounds`` are at most ``value``, by bisection."""
-    powers = F.array(*[F.lit(1 << k).cast("bigint") for k in reversed(range(steps))])
-    return F.aggregate(powers, F.lit(0).cast("bigint"), lambda at, p: F.when(
-        F.coalesce(F.get(bounds, (at + p - 1).cast("int")), F.lit(2**62)) <= value, at + p).otherwise(at))
+def look_up(rows: DataFrame, value: str, intervals: DataFrame, total: int, count: int) -> DataFrame:
+    """``rows`` with the columns of the interval lo <= value < hi that their value lies in.
 
-
-def _with_one_row(rows: DataFrame, one: DataFrame) -> DataFrame:
-    """``rows`` with the columns of a one-row table."""
-    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    An equi-join on buckets of the values' range 0..total-1: an interval has a row for each bucket that it touches, in
+    all at most twice as many as there are intervals. Which side moves is left to the measured sizes.
+    """
+    width = F.lit(max(1, -(-total // max(1, count))))
+    div = lambda x: F.call_function("div", x, width)
+    spread = intervals.withColumn("_bucket", F.explode(F.sequence(div(F.col("lo")), div(F.col("hi") - 1))))
+    return rows.withColumn("_bucket", div(F.col(value))).join(spread, "_bucket").where(
+        (F.col("lo") <= F.col(value)) & (F.col(value) < F.col("hi"))).drop("_bucket", "lo", "hi")
 
 
 def draw_slots(sources: DataFrame) -> DataFrame:
     """(shard, slot, sid, epoch, block) of the whole mix. ``sources`` (sid, blocks, slots) has a row per source."""
     spark = sources.sparkSession
-    ordered = Window.orderBy("sid")
-    summed = sources.where("slots > 0").withColumn("upto", F.sum("slots").over(ordered))
-    # one row for each source, a table as long as the list of sources
-    table = summed.agg(F.sort_array(F.collect_list(F.struct("upto", "sid"))).alias("t")).select(
-        F.transform("t", lambda x: x["upto"]).alias("upto"), F.transform("t", lambda x: x["sid"]).alias("sids"))
-    size = summed.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n")).first()
-    total, steps = size["total"], max(1, int(size["n"]).bit_length())
+    ordered = Window.orderBy("sid")  # a row per source
+    intervals = cut_lineage(sources.where("slots > 0").withColumn("hi", F.sum("slots").over(ordered)).select(
+        "sid", (F.col("hi") - F.col("slots")).alias("lo"), "hi"), "intervals")
+    size = intervals.agg(F.coalesce(F.max("hi"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n")).first()
+    total = int(size["total"])
     slots = spark.range(total).select(F.floor(F.col("id") / SHARD_SLOTS).cast("bigint").alias("shard"),
                                       (F.col("id") % SHARD_SLOTS).alias("slot"))
-    drawn = slots.withColumn("u", scramble(F.col("shard"), F.col("slot")) % F.lit(max(total, 1))).transform(_with_one_row, table).withColumn(
-        "sid", F.get("sids", _find(F.col("upto"), F.col("u"), steps).cast("int"))).drop("u", "upto", "sids")
+    thrown = slots.withColumn("u", scramble(F.col("shard"), F.col("slot")) % F.lit(max(total, 1)))
+    drawn = look_up(thrown, "u", intervals, total, size["n"]).select("shard", "slot", "sid")
     # the number of a slot within its source: counts of the earlier shards, then inside the shard
     counts = drawn.groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("n"))
-    counts = cut_lineage(running_sum(counts, "sid", ["shard"], "shard", "n", "before"), "counts")
+    counts = cut_lineage(running_sum(counts, "sid", ["shard"], "n", "before"), "counts")
     inside = F.row_number().over(Window.partitionBy("sid", "shard").orderBy("slot")) - 1
     numbered = drawn.join(counts.select("sid", "shard", "before"), ["sid", "shard"]).withColumn(
         "k", F.col("before") + inside).drop("before")
     got = counts.groupBy("sid").agg(F.sum("n").alias("got"))
-    balance = sources.where("slots > 0").join(got, "sid", "left").select(
+    balance = cut_lineage(sources.where("slots > 0").join(got, "sid", "left").select(
         "sid", "slots", F.coalesce("got", F.lit(0)).alias("got")).withColumns({
             "over": F.greatest(F.col("got") - F.col("slots"), F.lit(0)),
             "short": F.greatest(F.col("slots") - F.col("got"), F.lit(0))}).withColumns({
                 "over_before": F.sum("over").over(ordered) - F.col("over"),
-                "short_upto": F.sum("short").over(ordered)})
-    needy = balance.where("short > 0").agg(F.sort_array(F.collect_list(F.struct(
-        "short_upto", "sid", "got", "short"))).alias("t")).select(
-        "t", F.transform("t", lambda x: x["short_upto"]).alias("bounds"))
-    numbered = numbered.join(F.broadcast(balance.select("sid", "slots", "over_before")), "sid").transform(
-        _with_one_row, needy)
-    spare = F.col("over_before") + F.col("k") - F.col("slots")
-    other = F.get("t", _find(F.col("bounds"), spare, steps).cast("int"))
-    moved = F.col("k") >= F.col("slots")
-    settled = numbered.select("shard", "slot", F.when(moved, other["sid"]).otherwise(F.col("sid")).alias("sid"),
-                              F.when(moved, other["got"] + spare - (other["short_upto"] - other["short"])).otherwise(
-                                  F.col("k")).alias("k"))
-    placed = settled.join(F.broadcast(sources.select("sid", "blocks")), "sid")
+                "short_before": F.sum("short").over(ordered) - F.col("short")}), "balance")
+    needy = balance.where("short > 0").select(
+        F.col("sid").alias("other"), F.col("got").alias("other_got"), F.col("short_before").alias("first_spare"),
+        F.col("short_before").alias("lo"), (F.col("short_before") + F.col("short")).alias("hi"))
+    lacking = balance.agg(F.coalesce(F.sum("short"), F.lit(0)).alias("total"), F.count_if(F.col("short") > 0).alias("n")).first()
+    numbered = cut_lineage(numbered.join(broadcast_if_small(balance.select("sid", "slots", "over_before")), "sid"), "numbered")
+    spare = numbered.where("k >= slots").withColumn("spare", F.col("over_before") + F.col("k") - F.col("slots"))
+    moved = look_up(spare, "spare", needy, int(lacking["total"]), lacking["n"]).select(
+        "shard", "slot", F.col("other").alias("sid"), (F.col("other_got") + F.col("spare") - F.col("first_spare")).alias("k"))
+    settled = numbered.where("k < slots").select("shard", "slot", "sid", "k").union(moved)
+    placed = settled.join(broadcast_if_small(sources.select("sid", "blocks")), "sid")
     epoch = F.floor(F.col("k") / F.col("blocks")).cast("bigint")
     return placed.select("shard", "slot", "sid", epoch.alias("epoch"), permuted(
         F.col("k") % F.col("blocks"), F.col("blocks"), F.col("sid"), epoch).alias("block"))
@@ -160,7 +159,7 @@ def plan_mix(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame,
     sources = cut_lineage(sources, "sources")
     named = rows.join(broadcast_if_small(sources.select("sid", F.col("source").alias("_source"))),
                       F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = running_sum(named, "sid", ["doc_id", "_tie", "row"], "doc_id", "size", "start")
+    placed = running_sum(named, "sid", ["doc_id", "_tie", "row"], "size", "start")
     return cut_lineage(placed, "placed"), sources, draw_slots(sources)
 
 
@@ -193,7 +192,9 @@ def mix_report(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix as rows of ``docs``: a document whose blocks are all used k times comes k times as it is, and once
     more for each further use with the words of the blocks used that often, joined by single spaces (n_chars
-    follows)."""
+    follows). Null, empty and blank texts give no row, null sources are a source of their own, null doc_ids come after
+    all others and stay null, repeated rows are documents of their own; an empty table gives an empty one. Columns of
+    any name are kept."""
     # the row itself stays in one column, so its names cannot clash with those used here
     numbered = cut_lineage(_sized(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_doc"))).drop(
         "text").withColumn("_row", F.monotonically_increasing_id()), "rows")

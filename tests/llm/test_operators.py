@@ -302,6 +302,28 @@ def test_mix(spark, documents, edge, empty):
     assert got.join(words, "doc_id", "left").where("taken <> coalesce(n, 0)").count() == 0
 
 
+def test_running_sum_of_odd_places(spark, monkeypatch):
+    """Outlying, repeated and null places, a hot key: sums as one ordered list gives them, parts of bounded size."""
+    monkeypatch.setattr(mixing, "SEGMENT", 50)
+    rows = [("hot" if i % 4 else "cold", None if i % 3 == 0 else (10**17 if i == 7 else i % 40), i, i % 11) for i in range(1500)]
+    table = spark.createDataFrame(rows, "k string, place bigint, row bigint, v bigint")
+    got = {r.row: r.before for r in mixing.running_sum(table, "k", ["place", "row"], "v", "before").collect()}
+    totals = Counter()
+    for k, place, row, v in sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2])):
+        assert got[row] == totals[k]
+        totals[k] += v
+    assert len(got) == 1500 and mixing.running_sum(table.limit(0), "k", ["place"], "v", "before").collect() == []
+
+
+def test_mix_of_outlying_and_null_ids(spark):
+    texts = [(None if i % 3 == 0 else (10**15 if i == 4 else i), " ".join(f"w{i}" for _ in range(1 + i % 50)), "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, source string")
+    rows = mixing.mix_report(docs).toPandas()
+    assert len(rows) == 400 and (rows.taken <= 3 * rows["size"]).all()
+    for size, part in rows.groupby("source_size"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 3 * mixing.BLOCK
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 64, 1000):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(4), F.lit(0)).alias("x")).collect()
