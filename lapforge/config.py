@@ -23,9 +23,16 @@ SEED = 42
 CHART_POINTS = 5000
 MAP_POINTS = 8000
 SEASON_FALLBACK_ROUNDS = 24
+SEASONS = ("2023", "2024")
+TARGET_FPS = 5
+FRAMES_PER_VIDEO = 11
+HIT_THRESHOLD = 130
+NEAR_THRESHOLD = 250
+LEFT_WHEEL_X = 0.18
+RIGHT_WHEEL_X = 0.85
+WHEEL_Y = 0.60
 MIN_CONFIDENCE = 0.25
 CURB_CLASS = 0
-ROAD_CLASS = 1
 # --------------------------------------------------------------------------------------------
 
 
@@ -33,14 +40,14 @@ ROAD_CLASS = 1
 class Settings:
     """Settings a deployment may override from a JSON document; absent keys keep the default."""
 
-    seasons: tuple[str, ...] = ("2023", "2024")
-    target_fps: int = 5
-    frames_per_video: int = 11
-    hit_threshold: float = 130
-    near_threshold: float = 250
-    left_wheel_x_pct: float = 0.18
-    right_wheel_x_pct: float = 0.85
-    wheel_y_pct: float = 0.60
+    seasons: tuple[str, ...] = SEASONS
+    target_fps: int = TARGET_FPS
+    frames_per_video: int = FRAMES_PER_VIDEO
+    hit_threshold: float = HIT_THRESHOLD
+    near_threshold: float = NEAR_THRESHOLD
+    left_wheel_x_pct: float = LEFT_WHEEL_X
+    right_wheel_x_pct: float = RIGHT_WHEEL_X
+    wheel_y_pct: float = WHEEL_Y
     circuits: tuple[dict, ...] = field(default=())
 
     @classmethod

@@ -14,11 +14,6 @@ def seconds(duration_ns: Column) -> Column:
     return duration_ns / F.lit(float(NANOS))
 
 
-def row_duration(position: Column) -> Column:
-    """Row position as a duration in nanoseconds, one second per row."""
-    return position.cast("bigint") * F.lit(NANOS).cast("bigint")
-
-
 def clock_text(value: Column) -> Column:
     """Seconds as HH:MM:SS.mmm, the milliseconds cut off and not rounded."""
     within_minute = (value % 3600) % 60
@@ -114,11 +109,6 @@ def stem_parts(stem: Column) -> Column:
     return F.split(stem, "_")
 
 
-def stem_of(path: Column) -> Column:
-    """File name without folder and without its last suffix."""
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
-
-
 def session_option(stem: Column, event_name: Column, session_label: Column) -> Column:
     """Label of a three-part stem, the stem itself otherwise."""
     parts = stem_parts(stem)

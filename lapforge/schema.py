@@ -28,28 +28,12 @@ FEATURE_COLUMNS = [
 ]
 CHART_CHANNELS = ["Speed", "Throttle", "Brake", "nGear", "RPM"]
 METRIC_COLUMNS = ["frame_number", "timestamp_sec", "distance_px", "status", "has_curb"]
-# --------------------------------------------------------------------------------------------
-
-SESSION_KEYS = ["Year", "Round", "Session"]
-DRIVER_KEYS = SESSION_KEYS + ["Driver"]
-FILE_ORDER = ["part_file", "row_index"]
-PANDAS_INDEX = "__index_level_0__"
-
 TELEMETRY_TYPES = {
     "Date": "timestamp_ntz", "SessionTime": "bigint", "Time": "bigint", "Speed": "double",
     "RPM": "double", "nGear": "int", "Throttle": "double", "Brake": "double", "X": "double",
     "Y": "double", "Z": "double", "Driver": "string", "Round": "int", "Session": "string",
     "Year": "int",
 }
-
-METRICS_SCHEMA = T.StructType([
-    T.StructField("frame_number", T.IntegerType()),
-    T.StructField("timestamp_sec", T.DoubleType()),
-    T.StructField("distance_px", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("has_curb", T.StringType()),
-])
-
 META_SCHEMA = T.StructType([
     T.StructField("session_file", T.StringType()),
     T.StructField("driver", T.StringType()),
@@ -65,6 +49,20 @@ META_SCHEMA = T.StructType([
     T.StructField("feature_columns", T.ArrayType(T.StringType())),
     T.StructField("timestamp", T.StringType()),
 ])
+# --------------------------------------------------------------------------------------------
+
+SESSION_KEYS = ["Year", "Round", "Session"]
+DRIVER_KEYS = SESSION_KEYS + ["Driver"]
+FILE_ORDER = ["part_file", "row_index"]
+PANDAS_INDEX = "__index_level_0__"
+
+METRICS_SCHEMA = T.StructType([
+    T.StructField("frame_number", T.IntegerType()),
+    T.StructField("timestamp_sec", T.DoubleType()),
+    T.StructField("distance_px", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("has_curb", T.StringType()),
+])
 
 
 class MissingColumnsError(ValueError):
@@ -79,7 +77,7 @@ def keep_existing(df: DataFrame, wanted: list[str] = LANDING_COLUMNS) -> DataFra
 def require_columns(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise MissingColumnsError(f"Missing required columns: {missing}")
+        raise MissingColumnsError(f"the table has no column {', '.join(missing)}")
     return df
 
 

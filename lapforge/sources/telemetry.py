@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapforge.config import DEFAULT_GEAR, UNKNOWN_DRIVER
+from lapforge.config import DEFAULT_GEAR, SEASON_FALLBACK_ROUNDS, UNKNOWN_DRIVER
 from lapforge.functions.scalar import stem_parts
 from lapforge.operators.ordered import join_summary
 from lapforge.schema import EXPECTED_COLUMNS, NANOS, conform, keep_existing, repair_columns
@@ -204,7 +204,7 @@ def with_session_keys(df: DataFrame) -> DataFrame:
 
 
 def season_manifest(seasons: DataFrame, schedule: DataFrame, session_types: tuple[str, ...] = ("Q", "R"),
-                    fallback_rounds: int = 24) -> DataFrame:
+                    fallback_rounds: int = SEASON_FALLBACK_ROUNDS) -> DataFrame:
     """Every (Year, Round, Session) a complete lake holds: rounds up to the schedule's last."""
     rounds = schedule.groupBy("Year").agg(F.max("RoundNumber").alias("_rounds"))
     last = F.coalesce(F.col("_rounds"), F.lit(fallback_rounds))
