@@ -214,6 +214,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...]
     for position, category in enumerate(categories):
         # one group per fold model, and one (FOLDS) for the model of all rows; each holds the sample at most
         spread = coded.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).where("model <> fold")
+        spread = spread.repartitionByRange(FOLDS + 1, "model")  # by size alone, the models would be merged into one task
 
         def fit(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("doc_id")
