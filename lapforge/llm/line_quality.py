@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lapforge.llm.tables import set_aside
+
 SPACE = r"[ \t\n\x0B\f\r]+"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50            # below it a document fails
@@ -73,6 +75,9 @@ def line_passes(line: Column) -> Column:
     return ends & ~menu & ~junk & ~line.rlike(BOILERPLATE)
 
 
+HELPERS = ["_words", "_lines", "_passed", "_all_chars"]
+
+
 def clean_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``clean_text`` (lines that pass, blank lines out) and the columns of the report.
 
@@ -80,6 +85,7 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     all others, also null ids and repeated rows, are passed on.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs, names = set_aside(docs, HELPERS)
     staged = docs.withColumns({"_words": words_of(text), "_lines": lines_of(text)})
     staged = staged.withColumns({
         "n_words": F.size("_words").cast("bigint"),
@@ -99,7 +105,7 @@ def clean_lines(docs: DataFrame) -> DataFrame:
         "clean_text": F.array_join("_passed", "\n"),
     })
     kept = ~F.col("base_failed") & (F.col("chars_kept") * 100 >= F.col("_all_chars") * KEEP_PERCENT)
-    return staged.withColumn("kept", kept).drop("_words", "_lines", "_passed", "_all_chars")
+    return staged.withColumn("kept", kept).drop(*HELPERS).withColumnsRenamed(names)
 
 
 REPORT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",

@@ -16,13 +16,14 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapforge.llm.components import connected_components
 from lapforge.llm.near_links import bit_sketch, link_classes, only, shared_buckets
-from lapforge.llm.tables import broadcast_if_small, cut_lineage, map_batches
+from lapforge.llm.tables import broadcast_if_small, cut_lineage, map_batches, set_aside
 from lapforge.llm.texts import chunks, mix, mix_int, raw_bytes, rolling, span_hashes, split_words
 
 WORDS, PERCENT = 5, 80
@@ -215,7 +216,8 @@ def paragraph_report(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
                      ) -> DataFrame:
     """Per doc_id: class_id (smallest doc_id reachable over documents that share a paragraph cluster or a span,
     itself without copies), n_paragraphs, n_removed (paragraphs), n_passages_removed (maximal stretches of words in removed
-    paragraphs and spans), n_words_removed. Rows of one doc_id are reported together."""
+    paragraphs and spans), n_words_removed. Rows of one doc_id are reported together, those without an id as one. Null,
+    empty and blank texts have no paragraphs; an empty table gives an empty one; other columns are ignored."""
     rows, copies = _clusters(docs, words, percent, min_words)
     copies, spans = cut_lineage(copies, "copies"), cut_lineage(_span_copies(rows), "span_copies")
     own = rows.where(F.col("line_no") != SPANS).groupBy("doc_id").agg(
@@ -239,32 +241,48 @@ def paragraph_report(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
 
 def remove_paragraphs(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """``docs`` with the text of every paragraph not kept taken out; a text may become empty."""
+    """``docs`` with the text of every paragraph not kept taken out; a text may become empty.
+
+    Null texts and rows without a doc_id stay as they are; rows of one doc_id lose the same lines. Columns of any name
+    are kept; an empty table gives an empty one.
+    """
+    columns = docs.columns
+    docs, names = set_aside(docs, ["_gone", "_gone_id"])
     gone = copies.where("not keep").groupBy(F.col("doc_id").alias("_gone_id")).agg(
         F.collect_set("line_no").alias("_gone"))
     lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("bigint")))
     joined = docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left")
     return joined.withColumn("text", F.when(F.col("_gone").isNotNull(), F.array_join(lines, "\n")).otherwise(
-        F.col("text"))).select(*docs.columns)
+        F.col("text"))).drop("_gone", "_gone_id").withColumnsRenamed(names).select(*columns)
 
 
 def remove_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, min_words: int = MIN_WORDS
                     ) -> DataFrame:
-    """``docs`` with the words of all removed paragraphs and spans taken out; the white space around them stays."""
+    """``docs`` with the words of all removed paragraphs and spans taken out; the white space around them stays.
+
+    Null and empty texts stay as they are; repeated rows are documents of their own, of which the first keeps its
+    passages; rows with a null doc_id come last. Columns of any name are kept; an empty table gives an empty one.
+    """
+    columns = docs.columns
+    docs, names = set_aside(docs, ["_row", "_gone"])
     numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     rows, copies = _clusters(numbered, words, percent, min_words, F.col("_row"))
     gone = _stretches(copies, _span_copies(rows)).groupBy(F.col("row").alias("_row")).agg(
         F.collect_set(F.struct("start", "stop")).alias("_gone"))
 
-    @F.udf("string")
-    def cut(text, stretches):
-        if not stretches:
+    def cut(text: str | None, stretches) -> str | None:
+        if text is None or stretches is None or not len(stretches):
             return text
         data = text.encode()
         places = [m.span() for m in re.finditer(rb"[^\t-\r ]+", data)]
         out, at = [], 0
-        for start, stop in sorted(map(tuple, stretches)):
+        for start, stop in sorted((x["start"], x["stop"]) for x in stretches):
             out.append(data[at:max(at, places[start][0])])
             at = max(at, places[stop - 1][1])
         return b"".join([*out, data[at:]]).decode()
-    return numbered.join(gone, "_row", "left").withColumn("text", cut("text", "_gone")).select(*docs.columns)
+
+    @F.pandas_udf("string")
+    def cut_all(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([cut(t, g) for t, g in zip(texts, gone)], dtype=object)
+    left = numbered.join(gone, "_row", "left").withColumn("text", cut_all("text", "_gone"))
+    return left.drop("_row", "_gone").withColumnsRenamed(names).select(*columns)

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lapforge.session import cut_lineage
 
-__all__ = ["broadcast_if_small", "cut_lineage", "map_batches", "read_table"]
+__all__ = ["broadcast_if_small", "cut_lineage", "map_batches", "read_table", "set_aside"]
 
 #: Rows of two or three numbers that may be broadcast (about 40 MB); beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -39,3 +39,15 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
                      else columns[f.name].cast(f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
+
+
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns called like one of ``names`` (case aside) renamed, and the renaming that undoes it."""
+    used = {c.lower() for c in df.columns} | {n.lower() for n in names}
+    back = {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            free = next(f"{c}_{k}" for k in range(len(used) + 1) if f"{c}_{k}".lower() not in used)
+            used.add(free.lower())
+            back[free] = c
+    return df.withColumnsRenamed({c: free for free, c in back.items()}), back

@@ -189,6 +189,19 @@ def test_paragraphs(documents, texts, edge, empty):
     assert 1 - (1 - 0.8 ** rows_) ** bands >= 0.999
 
 
+def test_columns_of_any_name_are_kept(spark):
+    names = ["_row", "_gone", "_GONE_ID", "_words", "_Lines", "_passed", "_all_chars"]
+    rows = spark.createDataFrame([(1, SENTENCE), (2, SENTENCE), (3, None), (None, "")], "doc_id bigint, text string")
+    rows = rows.withColumns({c: F.lit(c) for c in names})
+    for left in (paragraphs.remove_passages(rows), paragraphs.remove_paragraphs(rows, paragraphs.paragraph_clusters(rows)),
+                 line_quality.clean_lines(rows).select(*rows.columns)):
+        assert left.columns == rows.columns
+        found = left.collect()
+        assert len(found) == 4 and all(r[c] == c for r in found for c in names)
+    texts = {r.doc_id: r.text for r in paragraphs.remove_passages(rows).collect()}
+    assert texts == {1: SENTENCE, 2: "", 3: None, None: ""}
+
+
 def test_passages_by_force(spark, documents, texts):
     """Every shared window of 51 words, in whatever lines, shares a span; the planted ones by hand, the others too."""
     import pyarrow as pa
