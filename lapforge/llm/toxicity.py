@@ -13,6 +13,7 @@ near zero without being cut.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from hashlib import blake2b
 from dataclasses import dataclass, field
 
@@ -39,6 +40,7 @@ class Chain:
     the threshold of the last one."""
     categories: tuple[str, ...]
     vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # hashes, sorted
+    numbers: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))     # feature of each, frequent ones first
     weights: list[np.ndarray] = field(default_factory=list)
     threshold: float = 1.0
 
@@ -53,11 +55,22 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
+def pack(features: list[int]) -> bytes:
+    """Sorted numbers as differences of two bytes, or of four if need be."""
+    steps = np.diff(np.array(features, np.int64), prepend=0)
+    wide = bool(len(steps)) and int(steps.max()) > 65_535
+    return (b"4" if wide else b"2") + steps.astype("<u4" if wide else "<u2").tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, "<u4" if data[:1] == b"4" else "<u2", offset=1).astype(np.int64))
+
+
 class Features:
-    """Feature numbers of texts: places in a sorted vocabulary of hashes; other words have none."""
+    """Feature numbers of texts, by a sorted vocabulary of hashes; other words have none."""
 
-    def __init__(self, vocabulary: np.ndarray):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: np.ndarray, numbers: np.ndarray):
+        self.vocabulary, self.numbers = vocabulary, numbers
         self.known: dict[str, tuple[int, ...]] = {}
 
     def learn(self, words: list[str]) -> None:
@@ -66,7 +79,7 @@ class Features:
         at = np.searchsorted(self.vocabulary, flat)
         at[at == len(self.vocabulary)] = 0
         hit = self.vocabulary[at] == flat if len(self.vocabulary) else np.zeros(len(flat), bool)
-        places, k = np.where(hit, at, -1).tolist(), 0
+        places, k = np.where(hit, self.numbers[at] if len(self.numbers) else -1, -1).tolist(), 0
         for word, own in zip(words, found):
             self.known[word] = tuple(p for p in places[k:k + len(own)] if p >= 0)
             k += len(own)
@@ -95,7 +108,7 @@ def relevance(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int)
 def _sums(groups: np.ndarray, entries: np.ndarray, n: int):
     """A function that sums a vector's entries by group: the product with a sparse 0/1 matrix, sorted once."""
     order = np.argsort(groups, kind="stable")
-    groups, entries = groups[order], entries[order].astype(np.int32)
+    groups, entries = groups[order], entries[order]  # as they are: other index types are converted on every use
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else groups
     present = groups[starts]
 
@@ -195,22 +208,25 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...]
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut_lineage(texts.join(F.broadcast(sample), "doc_id"), "labelled")
 
-    def collect_hashes(batch):
-        yield {"hash": sorted({h for w in set().union(*map(words_of, batch.column("text").to_pylist())) for h in hashes_of(w)})}
+    def count_hashes(batch):
+        n = Counter(h for text in batch.column("text").to_pylist() for w in words_of(text) for h in hashes_of(w))
+        yield {"hash": list(n), "n": list(n.values())}
 
     # the words of the bounded sample
-    vocabulary = map_batches(rows.select("text"), collect_hashes, "hash bigint").distinct().toPandas()["hash"].to_numpy(np.int64)
-    vocabulary = np.sort(vocabulary)
+    counts = map_batches(rows.select("text"), count_hashes, "hash bigint, n bigint").groupBy("hash").agg(
+        F.sum("n").alias("n")).toPandas().sort_values("hash")
+    vocabulary, numbers = counts["hash"].to_numpy(np.int64), np.zeros(len(counts), np.int64)
+    numbers[np.argsort(-counts["n"].to_numpy(np.int64), kind="stable")] = np.arange(len(counts))
 
     def encode(batch):
-        of = Features(vocabulary)
-        yield {"features": of.rows(batch.column("text").to_pylist()),
+        of = Features(vocabulary, numbers)
+        yield {"features": [pack(f) for f in of.rows(batch.column("text").to_pylist())],
                **{c: batch.column(c) for c in ("doc_id", "fold", *categories)}}
 
     kinds = ", ".join(f"{c} int" for c in ("fold", *categories))
-    coded = cut_lineage(map_batches(rows, encode, f"doc_id bigint, features array<int>, {kinds}").withColumn(
+    coded = cut_lineage(map_batches(rows, encode, f"doc_id bigint, features binary, {kinds}").withColumn(
         "chain", F.expr("array()").cast("array<double>")), "coded")
-    chain, width = Chain(tuple(categories), vocabulary), len(vocabulary)
+    chain, width = Chain(tuple(categories), vocabulary, numbers), len(vocabulary)
     for position, category in enumerate(categories):
         # one group per fold model, and one (FOLDS) for the model of all rows; each holds the sample at most
         spread = coded.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).where("model <> fold")
@@ -218,8 +234,9 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...]
 
         def fit(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("doc_id")
-            at = np.repeat(np.arange(len(part)), part["features"].map(len).to_numpy())
-            columns = np.concatenate([*part["features"], np.zeros(0, np.int32)]).astype(np.int64)
+            found = [unpack(f) for f in part["features"]]
+            at = np.repeat(np.arange(len(part)), [len(f) for f in found])
+            columns = np.concatenate([*found, np.zeros(0, np.int64)])
             dense = np.array([list(x) for x in part["chain"]], float).reshape(len(part), position)
             w = fit_logistic(at, columns, dense, (part[category] > 0).to_numpy(float), width)
             return pd.DataFrame({"model": [int(part["model"].iloc[0])], "w": [w.tobytes()]})
@@ -233,12 +250,12 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...]
         def out_of_fold(batch):
             features, folds = batch.column("features").to_pylist(), batch.column("fold").to_pylist()
             before = batch.column("chain").to_pylist()
-            z = [float(margins([f], np.array([b], float).reshape(1, position), fitted.get(k, nothing), width)[0])
+            z = [float(margins([unpack(f)], np.array([b], float).reshape(1, position), fitted.get(k, nothing), width)[0])
                  for f, k, b in zip(features, folds, before)]
             yield {**{c: batch.column(c) for c in ("doc_id", "features", "fold", *categories)},
                    "chain": [[*b, float(np.clip(x, -20, 20))] for b, x in zip(before, z)]}
         coded = cut_lineage(map_batches(
-            coded, out_of_fold, f"doc_id bigint, features array<int>, {kinds}, chain array<double>"), "coded")
+            coded, out_of_fold, f"doc_id bigint, features binary, {kinds}, chain array<double>"), "coded")
     held = coded.select(categories[-1], F.element_at("chain", -1).alias("z")).toPandas()  # the bounded sample
     chain.threshold = best_threshold((held[categories[-1]] > 0).to_numpy(float), held["z"].to_numpy(float))
     return chain
@@ -249,12 +266,12 @@ def score_chain(docs: DataFrame, chain: Chain) -> DataFrame:
 
     A null or empty text has no features; its probabilities are those of the intercepts and it is not toxic.
     """
-    weights, names, threshold, vocabulary = chain.weights, chain.categories, chain.threshold, chain.vocabulary
-    width, states = len(vocabulary), []
+    weights, names, threshold = chain.weights, chain.categories, chain.threshold
+    vocabulary, numbers, width, states = chain.vocabulary, chain.numbers, len(chain.vocabulary), []
 
     def score(batch):
         if not states:  # once for a task
-            states.append(Features(vocabulary))
+            states.append(Features(vocabulary, numbers))
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
             features = states[0].rows(part.column("text").to_pylist())

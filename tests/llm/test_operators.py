@@ -479,7 +479,7 @@ def test_chain_step_by_step(spark):
     chain = toxicity.train_chain(table.select("doc_id", "text"), table.select("doc_id", "quality", "toxic"))
     folds = {r.doc_id: r.f for r in table.select("doc_id", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(5)).alias("f")).collect()}
     fold = np.array([folds[i] for i in range(90)])
-    found = toxicity.Features(chain.vocabulary).rows([t for _, t, _, _ in rows])
+    found = toxicity.Features(chain.vocabulary, chain.numbers).rows([t for _, t, _, _ in rows])
     width = len(chain.vocabulary)
     assert width == 12 + 3  # all words of the table, none of which has a beginning of its own
     x = np.zeros((90, width))
@@ -503,6 +503,11 @@ def test_chain_step_by_step(spark):
     assert [r.toxic for r in toxicity.score_chain(long, chain).orderBy("doc_id").collect()] == [False, True, True]
 
 
+def test_packed_features():
+    for numbers in ([], [0], [3, 4, 900], [5, 70_000, 70_001], list(range(0, 10**6, 7))):
+        assert toxicity.unpack(toxicity.pack(numbers)).tolist() == numbers
+
+
 def test_threshold_of_ties():
     assert toxicity.best_threshold(np.array([1, 1, 0, 0.0]), np.array([2.0, 2, 2, -1])) == 0.5
     assert toxicity.best_threshold(np.array([1, 0.0]), np.array([3.0, 3])) == 2.0
