@@ -214,9 +214,11 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...]
 
     # the words of the bounded sample
     counts = map_batches(rows.select("text"), count_hashes, "hash bigint, n bigint").groupBy("hash").agg(
-        F.sum("n").alias("n")).toPandas().sort_values("hash")
-    vocabulary, numbers = counts["hash"].to_numpy(np.int64), np.zeros(len(counts), np.int64)
-    numbers[np.argsort(-counts["n"].to_numpy(np.int64), kind="stable")] = np.arange(len(counts))
+        F.sum("n").alias("n")).toArrow()
+    hashes, times = (counts[c].to_numpy() for c in ("hash", "n"))
+    order = np.argsort(hashes)
+    vocabulary, numbers = hashes[order], np.zeros(len(hashes), np.int32)
+    numbers[np.argsort(-times[order], kind="stable")] = np.arange(len(hashes), dtype=np.int32)
 
     def encode(batch):
         of = Features(vocabulary, numbers)
