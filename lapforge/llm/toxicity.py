@@ -107,10 +107,12 @@ def relevance(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int)
 
 def _sums(groups: np.ndarray, entries: np.ndarray, n: int):
     """A function that sums a vector's entries by group: the product with a sparse 0/1 matrix, sorted once."""
-    order = np.argsort(groups, kind="stable")
-    groups, entries = groups[order], entries[order]  # as they are: other index types are converted on every use
-    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else groups
-    present = groups[starts]
+    counts = np.bincount(groups, minlength=n)
+    present = np.flatnonzero(counts)
+    starts = (np.cumsum(counts) - counts)[present]
+    if len(groups) and (groups[1:] < groups[:-1]).any():
+        entries = entries[np.argsort(groups, kind="stable")]
+    entries = entries.astype(np.intp, copy=False)  # other index types are converted on every use
 
     def total(values: np.ndarray) -> np.ndarray:
         out = np.zeros(n)
@@ -236,9 +238,11 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...]
 
         def fit(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("doc_id")
-            found = [unpack(f) for f in part["features"]]
-            at = np.repeat(np.arange(len(part)), [len(f) for f in found])
-            columns = np.concatenate([*found, np.zeros(0, np.int64)])
+            lengths = [(len(f) - 1) // (4 if f[:1] == b"4" else 2) for f in part["features"]]
+            at = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
+            columns = np.zeros(len(at), np.int64)  # filled row by row, as lists of them would double the memory
+            for f, stop, n in zip(part["features"], np.cumsum(lengths), lengths):
+                columns[stop - n:stop] = unpack(f)
             dense = np.array([list(x) for x in part["chain"]], float).reshape(len(part), position)
             w = fit_logistic(at, columns, dense, (part[category] > 0).to_numpy(float), width)
             return pd.DataFrame({"model": [int(part["model"].iloc[0])], "w": [w.tobytes()]})
