@@ -13,6 +13,7 @@ near zero without being cut.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from hashlib import blake2b
 from dataclasses import dataclass, field
@@ -56,14 +57,14 @@ def words_of(text: str | None) -> set[str]:
 
 
 def pack(features: list[int]) -> bytes:
-    """Sorted numbers as differences of two bytes, or of four if need be."""
+    """Sorted numbers as compressed differences of two bytes, or of four if need be."""
     steps = np.diff(np.array(features, np.int64), prepend=0)
     wide = bool(len(steps)) and int(steps.max()) > 65_535
-    return (b"4" if wide else b"2") + steps.astype("<u4" if wide else "<u2").tobytes()
+    return (b"4" if wide else b"2") + zlib.compress(steps.astype("<u4" if wide else "<u2").tobytes(), 1)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, "<u4" if data[:1] == b"4" else "<u2", offset=1).astype(np.int64))
+    return np.cumsum(np.frombuffer(zlib.decompress(data[1:]), "<u4" if data[:1] == b"4" else "<u2").astype(np.int64))
 
 
 class Features:
@@ -238,11 +239,11 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...]
 
         def fit(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("doc_id")
-            lengths = [(len(f) - 1) // (4 if f[:1] == b"4" else 2) for f in part["features"]]
-            at = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
-            columns = np.zeros(len(at), np.int64)  # filled row by row, as lists of them would double the memory
-            for f, stop, n in zip(part["features"], np.cumsum(lengths), lengths):
-                columns[stop - n:stop] = unpack(f)
+            # as 32-bit numbers until they lie in one array
+            found = [unpack(f).astype(np.int32) for f in part["features"]]
+            at = np.repeat(np.arange(len(part), dtype=np.int32), [len(f) for f in found])
+            columns = np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.int64)
+            del found
             dense = np.array([list(x) for x in part["chain"]], float).reshape(len(part), position)
             w = fit_logistic(at, columns, dense, (part[category] > 0).to_numpy(float), width)
             return pd.DataFrame({"model": [int(part["model"].iloc[0])], "w": [w.tobytes()]})
