@@ -246,11 +246,11 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...]
             del found
             dense = np.array([list(x) for x in part["chain"]], float).reshape(len(part), position)
             w = fit_logistic(at, columns, dense, (part[category] > 0).to_numpy(float), width)
-            return pd.DataFrame({"model": [int(part["model"].iloc[0])], "w": [w.tobytes()]})
+            return pd.DataFrame({"model": [int(part["model"].iloc[0])], "w": [w.astype(np.float32).tobytes()]})
 
-        fitted = {r.model: np.frombuffer(r.w) for r in spread.groupBy("model").applyInPandas(
+        fitted = {r.model: np.frombuffer(r.w, np.float32) for r in spread.groupBy("model").applyInPandas(
             fit, "model int, w binary").collect()}  # as many vectors as folds
-        nothing = np.zeros(width + position + 1)
+        nothing = np.zeros(width + position + 1, np.float32)
         nothing[-1] = -20.0
         chain.weights.append(fitted.get(FOLDS, nothing))
 
