@@ -11,14 +11,21 @@ from lapforge.operators.ordered import MAX_GROUP_ROWS, Timeline
 FRAME_BLOCK = 100_000
 
 
-def downsample(df: DataFrame, keys: list[str], order: list[str], max_points: int = CHART_POINTS,
+def downsample(df: DataFrame | Timeline, keys: list[str], order: list[str], max_points: int = CHART_POINTS,
                strict: bool = False, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Every step-th row of each group plus its last row; groups within the limit stay whole.
 
     The step is the floor of size / max_points, so almost twice ``max_points`` rows can remain;
-    ``strict=True`` rounds the step up and stays within max_points + 1.
+    ``strict=True`` rounds the step up and stays within max_points + 1. Rows that lie on a timeline in that order
+    are not moved again.
     """
-    placed = Timeline.of(df, keys, order, max_group_rows).positions("_pos", "_n").result()
+    if isinstance(df, Timeline):
+        if df.order != order:
+            raise ValueError(f"the timeline is ordered by {df.order}, not {order}")
+        timeline = df.by(keys)
+    else:
+        timeline = Timeline.of(df, keys, order, max_group_rows)
+    placed = timeline.positions("_pos", "_n").result()
     limit = F.lit(max_points).cast("bigint")
     step = F.expr(f"_n div {int(max_points)}")
     if strict:

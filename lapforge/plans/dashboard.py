@@ -9,7 +9,7 @@ from lapforge.config import CHART_POINTS, MAP_POINTS
 from lapforge.functions import scalar as S
 from lapforge.operators import kpi as K
 from lapforge.operators import lookup as L
-from lapforge.operators.ordered import join_summary
+from lapforge.operators.ordered import Timeline, join_summary
 from lapforge.operators.sampling import downsample
 from lapforge.schema import CHART_CHANNELS, DRIVER_KEYS, SESSION_KEYS
 
@@ -75,7 +75,7 @@ def telemetry_series(telemetry: DataFrame, drivers: list[str], until_s: float, o
     ).unpivot([*DRIVER_KEYS, "role", "session_s"], CHART_CHANNELS, "channel", "value")
 
 
-def track_map(rows: DataFrame, order: list[str], mode: str = "speed", max_points: int = MAP_POINTS) -> DataFrame:
+def track_map(rows: DataFrame | Timeline, order: list[str], mode: str = "speed", max_points: int = MAP_POINTS) -> DataFrame:
     """Map points coloured by speed or by anomaly score."""
     if mode not in ("speed", "mistakes"):
         raise ValueError(f"unknown map mode: {mode}")

@@ -146,3 +146,32 @@ def test_percentiles_equal_numpy(spark, bins):
     assert len(got) == 18
     for (k, share), value in got.items():
         assert value == pytest.approx(np.quantile(pdf[pdf.k == k].v, share), abs=1e-12)
+
+
+def gappy_laps(spark):
+    """Two drivers and one without a name in one session, with gaps where segments of 40 rows meet."""
+    rows = [(2024, 1, "Q", (None if i % 29 == 0 else "7" if i < 130 and i % 2 else "44"), i * 10**9, i,
+             None if i % 40 in (0, 38, 39) else float(i * 7 % 300), 8000.0, i % 8, 50.0, 10.0, 1.0, 2.0) for i in range(200)]
+    return spark.createDataFrame(rows, "Year int, Round int, Session string, Driver string, SessionTime long, tie long, "
+                                 "Speed double, RPM double, nGear int, Throttle double, Brake double, X double, Y double")
+
+
+def test_features_and_positions_on_the_layout_of_the_cleaning(spark):
+    from lapforge.schema import FEATURE_COLUMNS
+    keys, order, raw = ["Year", "Round", "Session"], ["SessionTime", "tie"], gappy_laps(spark)
+    plain = engineer_features(C.clean(raw, keys, order, columns=["Speed"]), order=order)
+    laid = C.clean_timeline(raw, keys, order, columns=["Speed"], max_group_rows=40)
+    assert laid.segmented and CELL in laid.rows.columns
+    from lapforge.operators.features import feature_timeline
+    cut = feature_timeline(laid, order=order)
+    read = lambda df: df.select("tie", "Driver", "Speed", *FEATURE_COLUMNS).orderBy("tie").collect()
+    assert read(cut.result()) == read(plain)
+    thin = lambda x: downsample(x, [*keys, "Driver"], order, 10).select("tie").orderBy("tie").collect()
+    assert thin(cut) == thin(plain)
+    # the deltas add no exchange to those of the cleaning
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(cut.result()) == exchanges(laid.result()) > 0
+    with pytest.raises(ValueError):
+        laid.by(["Driver"])
+    with pytest.raises(ValueError):
+        engineer_features(laid, order=["tie"])
