@@ -1,9 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages (windows of words) are TF-IDF vectors over the vocabulary of the benchmark, with document frequencies
-counted over all documents. A randomised SVD, whose passes over the passages are distributed, gives a latent
-space; it is fitted on the benchmark and on a bounded sample (the passages of the ``SAMPLE_DOCS`` documents with
-the smallest hash). Every window of every document is projected and compared with every item by cosine. What
+counted over all documents. A randomised SVD, whose passes over the passages of all documents and of the benchmark
+are distributed, gives a latent space. Every window of every document is projected and compared with every item by cosine. What
 passes is checked on the words: the longest common subsequence must cover most of the item, and the item's
 answer (its last line, or last sentence) must be there as well, so changed words, insertions and deletions are
 found and mere similarity of topic is not.
@@ -26,7 +25,7 @@ from lapforge.llm.tables import broadcast_if_small, cut_lineage, map_batches
 from lapforge.llm.texts import chunks, word_hashes
 
 BLOCK_ITEMS = 1_000
-SAMPLE_DOCS = 2_000
+PASSAGES = 32           # passages that are multiplied at once
 RANK, OVERSAMPLE, POWER = 128, 8, 1
 WINDOWS = (24, 64)      # words of a passage; neighbours overlap by half
 CELL = 4                # words that are summed first; divides the half windows
@@ -124,6 +123,34 @@ class Block:
         """Weights of all terms of the items; the common ones weigh little and are never left out."""
         self.idf = np.log((n_docs + 1) / (df + 1)) + 1
 
+    def passages(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, term, weight): the passages of some documents that hold a term, as unit vectors one after the other,
+        with the index at which each begins."""
+        at, term = self.lookup(words)
+        if not len(at):
+            return at, term, np.zeros(0)
+        size, of = WINDOWS[-1], np.searchsorted(first, at, side="right") - 1
+        count = -(-np.diff(first) // size)
+        number = (np.cumsum(count) - count)[of] + (at - first[of]) // size
+        pairs, n = np.unique(number * np.int64(len(self.terms)) + term, return_counts=True)
+        number, term = np.divmod(pairs, len(self.terms))
+        start = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        x = n * self.idf[term]
+        lengths = np.sqrt(np.add.reduceat(x * x, start))
+        return start, term, x / np.repeat(lengths, np.diff(np.r_[start, len(x)]))
+
+    def multiply(self, words: np.ndarray, first: np.ndarray, right: np.ndarray, total: np.ndarray) -> None:
+        """Add A'A ``right`` to ``total``, A being the passages of some documents, given as in ``search``."""
+        start, term, x = self.passages(words, first)
+        bounds = np.r_[start, len(term)]
+        for k in range(0, len(start), PASSAGES):
+            cuts = bounds[k:k + PASSAGES + 1]
+            a, b = cuts[0], cuts[-1]
+            own, column = np.unique(term[a:b], return_inverse=True)
+            dense = np.zeros((len(cuts) - 1, len(own)), np.float32)
+            dense[np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), column] = x[a:b]
+            total[own] += dense.T @ (dense @ right[own])
+
     def project(self, basis: np.ndarray) -> None:
         """Term vectors, and the items in latent space."""
         self.vectors = np.zeros((len(basis) + 1, basis.shape[1]), np.float32)  # the last one stands for other words
@@ -258,11 +285,11 @@ def _document_frequencies(docs: DataFrame, block: Block) -> tuple[np.ndarray, in
     return df, n
 
 
-def _basis(sample: DataFrame, block: Block) -> np.ndarray:
-    """Right singular vectors of the TF-IDF passages (sample and items) by a randomised range finder.
+def _basis(docs: DataFrame, block: Block) -> np.ndarray:
+    """Right singular vectors of the TF-IDF passages (of all documents and the items) by a randomised range finder.
 
-    Every pass multiplies the passages in the tasks and sums term vectors by shuffle; the driver holds matrices
-    of (terms of the block) x (rank) only.
+    Every pass multiplies the passages in the tasks, each of which hands on one sum; these are added by shuffle. Tasks
+    and driver hold matrices of (terms of the block) x (rank) only.
     """
     m = len(block.terms)
     width = min(RANK + OVERSAMPLE, m)
@@ -270,44 +297,38 @@ def _basis(sample: DataFrame, block: Block) -> np.ndarray:
         return np.zeros((0, 0))
     rng = np.random.default_rng(12345)
     current = rng.standard_normal((m, width))
+    schema = "term bigint, y binary"
 
-    def passages(words):
-        for k in range(0, max(len(words), 1), WINDOWS[-1]):
-            term, n = np.unique(block.lookup(words[k:k + WINDOWS[-1]])[1], return_counts=True)
-            if len(term):
-                x = n * block.idf[term]
-                yield term, x / np.linalg.norm(x)
+    def rows(total: np.ndarray):
+        some = np.flatnonzero(total.any(axis=1))
+        for k in range(0, len(some), 4096):
+            part = some[k:k + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(
+                [y.tobytes() for y in total[part]], pa.binary())], names=["term", "y"])
 
     def multiply(right: np.ndarray) -> np.ndarray:
-        def part(batch):
-            out = {}
-            text = batch.column("text")
-            for i, j in chunks(text):
-                words, first = word_hashes(text.slice(i, j - i))
-                for d in range(j - i):
-                    for term, x in passages(words[first[d]:first[d + 1]]):
-                        y = x @ right[term]
-                        for t, v in zip(term.tolist(), x):
-                            out[t] = out[t] + v * y if t in out else v * y
-            yield {"term": list(out), "y": [v.tobytes() for v in out.values()]}
-
-        def total(batches):
-            out: dict[int, np.ndarray] = {}
+        right = right.astype(np.float32)
+
+        def part(batches):
+            total = np.zeros((m, width))
+            for batch in batches:
+                text = batch.column("text")
+                for i, j in chunks(text):
+                    block.multiply(*word_hashes(text.slice(i, j - i)), right, total)
+            yield from rows(total)
+
+        def add(batches):
+            total = np.zeros((m, width))
             for batch in batches:
                 for t, y in zip(batch.column("term").to_pylist(), batch.column("y").to_pylist()):
-                    y = np.frombuffer(y, np.float64)
-                    out[t] = out[t] + y if t in out else y
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(
-                    [v.tobytes() for v in out.values()], pa.binary())], names=["term", "y"])
-        sums = map_batches(sample, part, "term bigint, y binary").repartition(8, "term").mapInArrow(
-            total, "term bigint, y binary")
-        result = np.zeros((m, right.shape[1]))
+                    total[t] += np.frombuffer(y, np.float64)
+            yield from rows(total)
+
+        sums = docs.select("text").mapInArrow(part, schema).repartition("term").mapInArrow(add, schema)
+        result = np.zeros((m, width))
         for term, y in sums.collect():
             result[term] = np.frombuffer(y, np.float64)
-        for item in block.items:
-            for term, x in passages(item):
-                result[term] += np.outer(x, x @ right[term])
+        block.multiply(np.concatenate(block.items), np.cumsum([0, *map(len, block.items)]), right, result)
         return result
 
     for _ in range(POWER):
@@ -330,8 +351,6 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "block", F.monotonically_increasing_id()), "items")
     numbered = items.orderBy("block")
     schema = "doc_id bigint, item_id bigint, common_words bigint, item_words bigint, cosine double, near_word bigint"
-    chosen = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = cut_lineage(texts.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text"), "sample")
     result, done = None, -1
     while True:
         # the next block of the stated query set
@@ -341,7 +360,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         done = rows[-1]["block"]
         block = Block([r["item_id"] for r in rows], [r["text"] for r in rows])
         block.weigh(*_document_frequencies(texts, block))
-        block.project(_basis(sample, block))
+        block.project(_basis(texts, block))
 
         def search(batch, block=block):
             out = {k: [] for k in ("doc_id", "item_id", "common_words", "item_words", "cosine", "near_word")}

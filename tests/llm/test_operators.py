@@ -574,6 +574,35 @@ def test_leaks(spark, documents, texts, edge, empty, sf_dir):
     assert latent_leaks.benchmark_leaks(edge, odd.limit(0)).collect() == [] and latent_leaks.benchmark_leaks(empty, odd).collect() == []
 
 
+def test_latent_space_is_fitted_on_all_documents(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    names = np.array([f"w{k}" for k in range(160)])
+    items = [(k, " ".join(names[k * 8:k * 8 + 40])) for k in range(16)]
+    docs = [(i, None if i % 97 == 0 else " ".join(rng.choice(names, rng.integers(1, 200), p=np.arange(160) / 12_720)))
+            for i in range(2500)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    seen, fit = [], latent_leaks._basis
+
+    def watched(rows, block):
+        seen.append((block, fit(rows, block), rows.count()))
+        return seen[-1][1]
+    monkeypatch.setattr(latent_leaks, "_basis", watched)
+    latent_leaks.benchmark_leaks(table, spark.createDataFrame(items, "item_id bigint, text string"))
+    (block, basis, n), gram = seen[0], np.zeros((160, 160))
+    assert n == len(docs)
+    for words, first in (latent_leaks.word_hashes(latent_leaks.pa.array([t for _, t in part], latent_leaks.pa.string())) for part in (docs, items)):
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            for k in range(a, b, latent_leaks.WINDOWS[-1]):
+                x = np.zeros(160)
+                np.add.at(x, np.searchsorted(block.terms, words[k:min(k + latent_leaks.WINDOWS[-1], b)]), 1)
+                x *= block.idf
+                gram += np.outer(x, x) / (x @ x)
+    assert basis.shape == (160, latent_leaks.RANK) and np.allclose(basis.T @ basis, np.eye(latent_leaks.RANK), atol=1e-6)
+    values = np.linalg.eigvalsh(gram)[::-1]
+    found = np.diag(basis.T @ gram @ basis)
+    assert abs(found[0] / values[0] - 1) < 1e-3 and found.sum() > 0.97 * values[:latent_leaks.RANK].sum()
+
+
 def test_leaks_with_rare_words_replaced(spark, documents, sf_dir):
     """Items without their rarest third of words; expected is what brute force over all stretches accepts."""
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
