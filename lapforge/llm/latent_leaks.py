@@ -147,7 +147,7 @@ class Block:
             cuts = bounds[k:k + PASSAGES + 1]
             a, b = cuts[0], cuts[-1]
             own, column = np.unique(term[a:b], return_inverse=True)
-            dense = np.zeros((len(cuts) - 1, len(own)), np.float32)
+            dense = np.zeros((len(cuts) - 1, len(own)))
             dense[np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), column] = x[a:b]
             total[own] += dense.T @ (dense @ right[own])
 
@@ -307,8 +307,6 @@ def _basis(docs: DataFrame, block: Block) -> np.ndarray:
                 [y.tobytes() for y in total[part]], pa.binary())], names=["term", "y"])
 
     def multiply(right: np.ndarray) -> np.ndarray:
-        right = right.astype(np.float32)
-
         def part(batches):
             total = np.zeros((m, width))
             for batch in batches:
