@@ -250,7 +250,8 @@ def test_paragraph_classes_are_components(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     got, want = queries.QUERIES[name](spark, sf_dir).toPandas(), con.execute(queries.ORACLES[name]).fetch_df()
     assert sorted(got.columns) == sorted(want.columns)
     rows = [sorted(tuple(cell(v) for v in r) for r in x[sorted(x.columns)].itertuples(index=False)) for x in (got, want)]
