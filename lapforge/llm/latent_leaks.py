@@ -98,16 +98,24 @@ class Block:
         self.answers = [last[bounds[i]:bounds[i + 1]] for i in range(len(ids))]
         self.terms = np.unique(words)
         self.index()
-        # how often each item has each term, and the words that a leak must share with it
-        self.counts = np.zeros((len(ids), len(self.terms)), np.uint16)
-        for i, item in enumerate(self.items):
-            t, n = np.unique(self.lookup(item)[1], return_counts=True)
-            self.counts[i, t] = np.minimum(n, 65_535)
         self.needed = np.array([max(1, math.ceil(COVER * len(item) - 1e-9)) for item in self.items])
 
     def index(self) -> None:
         self.near = np.zeros(1 << 16, bool)
         self.near[(self.terms >> np.uint64(48)).astype(np.int64)] = True
+        # how often each item has each term
+        self.counts = np.zeros((len(self.ids), len(self.terms)), np.uint16)
+        for i, item in enumerate(self.items):
+            t, n = np.unique(self.lookup(item)[1], return_counts=True)
+            self.counts[i, t] = np.minimum(n, 65_535)
+
+    def __getstate__(self) -> dict:
+        """What tasks carry: the tables that follow from the rest are made anew there, as they would take most of it."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("near", "counts")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.index()
 
     def lookup(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of words that are terms, and their term numbers."""
@@ -295,8 +303,6 @@ def _basis(docs: DataFrame, block: Block) -> np.ndarray:
     width = min(RANK + OVERSAMPLE, m)
     if not width:
         return np.zeros((0, 0))
-    rng = np.random.default_rng(12345)
-    current = rng.standard_normal((m, width))
     schema = "term bigint, y binary"
 
     def rows(total: np.ndarray):
@@ -306,9 +312,13 @@ def _basis(docs: DataFrame, block: Block) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(
                 [y.tobytes() for y in total[part]], pa.binary())], names=["term", "y"])
 
-    def multiply(right: np.ndarray) -> np.ndarray:
+    def drawn() -> np.ndarray:
+        return np.random.default_rng(12345).standard_normal((m, width))
+
+    def multiply(matrix: np.ndarray | None) -> np.ndarray:
+        """A'A times ``matrix``, or times the drawn one, which every task draws itself instead of carrying it."""
         def part(batches):
-            total = np.zeros((m, width))
+            total, right = np.zeros((m, width)), drawn() if matrix is None else matrix
             for batch in batches:
                 text = batch.column("text")
                 for i, j in chunks(text):
@@ -326,11 +336,14 @@ def _basis(docs: DataFrame, block: Block) -> np.ndarray:
         result = np.zeros((m, width))
         for term, y in sums.collect():
             result[term] = np.frombuffer(y, np.float64)
-        block.multiply(np.concatenate(block.items), np.cumsum([0, *map(len, block.items)]), right, result)
+        block.multiply(np.concatenate(block.items), np.cumsum([0, *map(len, block.items)]),
+                       drawn() if matrix is None else matrix, result)
         return result
 
+    current = None
     for _ in range(POWER):
         current = np.linalg.qr(multiply(current))[0]
+    current = drawn() if current is None else current
     small = current.T @ multiply(current)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     return current @ vectors[:, np.argsort(-values)[:RANK]]
