@@ -1,8 +1,9 @@
 """Distance of every sample to a given line, by corner, with a rating.
 
-The line's pieces are put into the cells of a grid, each also into the cells around them, so a sample reads one cell
-list and finds every piece within a cell's width. A sample whose nearest piece may lie farther away is asked again on
-a grid of four times the cell size, so outliers cost further rounds and ordinary samples one join.
+Samples are put into the cells of a grid. For each cell that holds samples the pieces are listed that can be nearest
+to any of them: those that are hardly farther from the middle of the samples than the nearest one. So a sample meets
+few pieces, in one join. The lists are found on coarser grids, whose cells list the pieces in and around them; a cell
+whose pieces may lie farther away is asked again on a grid of four times the cell size.
 """
 
 from __future__ import annotations
@@ -40,14 +41,24 @@ def finite(column: str) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
 
 
-def piece_distance(x: Column, y: Column, piece: Column) -> Column:
-    """Distance of a point to a stretch."""
-    dx, dy = piece["bx"] - piece["ax"], piece["by"] - piece["ay"]
-    length = dx * dx + dy * dy
-    along = ((x - piece["ax"]) * dx + (y - piece["ay"]) * dy) / length
-    part = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))).otherwise(F.lit(0.0))
-    off_x, off_y = x - (piece["ax"] + part * dx), y - (piece["ay"] + part * dy)
-    return F.sqrt(off_x * off_x + off_y * off_y)
+def piece_shape() -> Column:
+    """A stretch as one struct, with what its distances share."""
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    return F.struct("piece", "corner", "ax", "ay", dx.alias("dx"), dy.alias("dy"), (dx * dx + dy * dy).alias("length"))
+
+
+def piece_distances(x: Column, y: Column, pieces: Column) -> Column:
+    """(distance, shape) of a point to every stretch of a list.
+
+    In two steps, as expressions inside a list are computed as often as they are named.
+    """
+    def offset(p: Column) -> Column:
+        along = ((x - p["ax"]) * p["dx"] + (y - p["ay"]) * p["dy"]) / p["length"]
+        part = F.when(p["length"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))).otherwise(F.lit(0.0))
+        return F.struct((x - (p["ax"] + part * p["dx"])).alias("x"), (y - (p["ay"] + part * p["dy"])).alias("y"), p.alias("shape"))
+
+    return F.transform(F.transform(pieces, offset), lambda o: F.struct(
+        F.sqrt(o["x"] * o["x"] + o["y"] * o["y"]).alias("distance"), o["shape"].alias("shape")))
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:
@@ -56,6 +67,41 @@ def _cells(low: Column, high: Column, size: float) -> Column:
     return F.explode(F.sequence(place(low) - 1, place(high) + 1))
 
 
+def cell_lists(cells: DataFrame, pieces: DataFrame, keys: list[str], size: float) -> DataFrame:
+    """(keys, _cx, _cy, _near): the stretches that can be nearest to any point of a cell.
+
+    ``cells`` has the bounds of each cell's points. The points lie within half the diagonal of the bounds from their
+    middle, so a stretch that is farther from the middle than the nearest one by more than the diagonal is never nearest.
+    """
+    middle = lambda low, high: F.col(low) / 2 + F.col(high) / 2
+    wide, high = F.col("_high_x") - F.col("_low_x"), F.col("_high_y") - F.col("_low_y")
+    x, y, done = F.col("_x"), F.col("_y"), None
+    open_cells = cells.select(*keys, "_cx", "_cy", middle("_low_x", "_high_x").alias("_x"), middle("_low_y", "_high_y").alias("_y"),
+                              F.sqrt(wide * wide + high * high).alias("_diagonal"))
+    while True:
+        spread = pieces.withColumn("_px", _cells(F.least("ax", "bx"), F.greatest("ax", "bx"), size)).withColumn(
+            "_py", _cells(F.least("ay", "by"), F.greatest("ay", "by"), size))
+        lists = spread.groupBy(*keys, "_px", "_py").agg(F.collect_list(piece_shape()).alias("_around"))
+        placed = open_cells.withColumns({"_px": F.floor(x / size), "_py": F.floor(y / size)})
+        # what is not in the list is at least so far away
+        reach = F.least(x - (F.col("_px") - 1) * size, (F.col("_px") + 2) * size - x,
+                        y - (F.col("_py") - 1) * size, (F.col("_py") + 2) * size - y)
+        asked = join_summary(placed, lists, [*keys, "_px", "_py"]).withColumns(
+            {"_far": piece_distances(x, y, F.col("_around")), "_reach": reach})
+        least = F.array_min(F.transform("_far", lambda p: p["distance"]))
+        # distances are rounded to 10^-9 and are exact to some digits less than a double has
+        slack = F.col("_diagonal") + 1e-8 + (F.abs(x) + F.abs(y) + F.col("_diagonal") + F.col("_least")) * 1e-12
+        asked = asked.withColumn("_least", least).withColumn("_most", F.col("_least") + slack)
+        asked = cut_lineage(asked.withColumn("_found", F.coalesce(F.col("_most") <= F.col("_reach"), F.lit(False))).withColumn(
+            "_near", F.when(F.col("_found"), F.transform(F.filter("_far", lambda p: p["distance"] <= F.col("_most")), lambda p: p["shape"])))
+            .select(*open_cells.columns, "_found", "_near"), "asked")
+        found = asked.where("_found").select(*keys, "_cx", "_cy", "_near")
+        done = found if done is None else done.unionByName(found)
+        open_cells, size = asked.where("not _found").select(*open_cells.columns), size * WIDER
+        if open_cells.isEmpty():
+            return done
+
+
 def nearest_piece(samples: DataFrame, pieces: DataFrame, keys: list[str] = SESSION_KEYS, cell_size: float = CELL_SIZE
                   ) -> DataFrame:
     """``samples`` (keys, X, Y) with ``line_distance``, ``piece`` and ``corner`` of the nearest stretch of their line.
@@ -63,42 +109,26 @@ def nearest_piece(samples: DataFrame, pieces: DataFrame, keys: list[str] = SESSI
     Of equally near stretches (to 10^-9) the first counts. Samples without finite coordinates, or whose key has no line,
     get NULLs. The list of a cell holds the stretches around it, at most those of one line.
     """
-    pieces = cut_lineage(pieces, "pieces")
-    with_line = pieces.select(*keys).distinct().withColumn("_line", F.lit(True))
-    marked = join_summary(samples, with_line, keys).withColumn(
-        "_open", F.col("_line").isNotNull() & finite("X") & finite("Y")).drop("_line")
-    marked = cut_lineage(marked, "samples")
-    nothing = {"line_distance": F.lit(None).cast("double"), "piece": F.lit(None).cast("int"),
-               "corner": F.lit(None).cast(pieces.schema["corner"].dataType)}
-    done = marked.where("not _open").drop("_open").withColumns(nothing)
-    open_rows, size = marked.where("_open").drop("_open"), float(cell_size)
+    pieces, size = cut_lineage(pieces, "pieces"), float(cell_size)
     x, y = F.col("X").cast("double"), F.col("Y").cast("double")
-    while not open_rows.isEmpty():
-        spread = pieces.withColumn("_cx", _cells(F.least("ax", "bx"), F.greatest("ax", "bx"), size)).withColumn(
-            "_cy", _cells(F.least("ay", "by"), F.greatest("ay", "by"), size))
-        lists = spread.groupBy(*keys, "_cx", "_cy").agg(
-            F.collect_list(F.struct("piece", "corner", "ax", "ay", "bx", "by")).alias("_near"))
-        placed = open_rows.withColumns({"_cx": F.floor(x / size), "_cy": F.floor(y / size)})
-        best = F.array_min(F.transform("_near", lambda p: F.struct(
-            F.round(piece_distance(x, y, p), 9).alias("line_distance"), p["piece"].alias("piece"), p["corner"].alias("corner"))))
-        # what is not in the list is at least so far away
-        reach = F.least(x - (F.col("_cx") - 1) * size, (F.col("_cx") + 2) * size - x,
-                        y - (F.col("_cy") - 1) * size, (F.col("_cy") + 2) * size - y)
-        asked = join_summary(placed, lists, [*keys, "_cx", "_cy"]).withColumns({"_best": best, "_reach": reach})
-        asked = cut_lineage(asked.withColumn("_found", F.coalesce(F.col("_best.line_distance") <= F.col("_reach"), F.lit(False)))
-                            .drop("_near", "_cx", "_cy", "_reach"), "asked")
-        done = done.unionByName(asked.where("_found").select(*samples.columns, "_best.*"))
-        open_rows, size = asked.where("not _found").select(*samples.columns), size * WIDER
-    return done
+    place = lambda v: F.when(finite("X") & finite("Y"), F.floor(v / size))
+    placed = cut_lineage(samples.withColumns({"_cx": place(x), "_cy": place(y)}), "samples")
+    cells = placed.where("_cx is not null").groupBy(*keys, "_cx", "_cy").agg(
+        F.min(x).alias("_low_x"), F.max(x).alias("_high_x"), F.min(y).alias("_low_y"), F.max(y).alias("_high_y"))
+    with_line = join_summary(cells, pieces.select(*keys).distinct(), keys, "left_semi")
+    lists = cell_lists(with_line, pieces, keys, size * WIDER)
+    best = F.array_min(F.transform(piece_distances(x, y, F.col("_near")), lambda p: F.struct(
+        F.round(p["distance"], 9).alias("line_distance"), p["shape"]["piece"].alias("piece"), p["shape"]["corner"].alias("corner"))))
+    return join_summary(placed, lists, [*keys, "_cx", "_cy"]).withColumn("_best", best).select(*samples.columns, "_best.*")
 
 
 def line_deviation(samples: DataFrame, pieces: DataFrame, keys: list[str] = SESSION_KEYS, by: list[str] = DRIVER_KEYS,
                    ratings: tuple[tuple[str, float], ...] = RATINGS, cell_size: float = CELL_SIZE) -> DataFrame:
     """Per ``by`` and corner: samples, mean and largest distance to the line, and the rating of the mean."""
-    found = nearest_piece(samples, pieces, keys, cell_size).where("corner is not null")
-    rows = found.groupBy(*by, "corner").agg(
-        F.count(F.lit(1)).alias("samples"), F.avg("line_distance").alias("mean_distance"),
-        F.max("line_distance").alias("max_distance"))
+    # a filter on the corner would be pushed below the search and compute it twice
+    rows = nearest_piece(samples, pieces, keys, cell_size).groupBy(*by, "corner").agg(
+        F.count("corner").alias("samples"), F.avg("line_distance").alias("mean_distance"),
+        F.max("line_distance").alias("max_distance")).where("samples > 0")
     rating = F.lit("poor")
     for name, most in reversed(ratings):
         rating = F.when(F.round("mean_distance", 9) <= most, F.lit(name)).otherwise(rating)

@@ -9,6 +9,7 @@ from lapforge.queries.cleaning import cleaned
 from lapforge.queries.registry import query
 from lapforge.queries.views import CLEAN, LAPS, laps, table
 from lapforge.schema import DRIVER_KEYS
+from lapforge.session import cut_lineage
 
 GRID = CLEAN + """, grid AS (
   SELECT Year, Round, Session, CAST(floor(X / 25.0::DOUBLE) AS BIGINT) AS cell_x, CAST(floor(Y / 25.0::DOUBLE) AS BIGINT) AS cell_y,
@@ -79,7 +80,8 @@ def line_distance(spark, sf_dir):
     """Every driver's distance to the session's line, by corner."""
     from lapforge.operators.racing_line import line_deviation, line_pieces
     from lapforge.schema import SESSION_KEYS
-    rows = cleaned(spark, sf_dir).select(*DRIVER_KEYS, "X", "Y")
+    # read by the line and by the distances: clean once
+    rows = cut_lineage(cleaned(spark, sf_dir).select(*DRIVER_KEYS, "X", "Y"), "cleaned")
     strips = rows.where("X is not null and Y is not null").groupBy(
         *SESSION_KEYS, F.floor(F.col("X") / 50.0).alias("strip")).agg(
         F.round(F.avg(F.col("X").cast("double")), 3).alias("X"), F.round(F.avg(F.col("Y").cast("double")), 3).alias("Y"))

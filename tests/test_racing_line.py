@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from lapforge.operators.racing_line import line_deviation, line_pieces, nearest_piece
+from lapforge.operators.racing_line import cell_lists, line_deviation, line_pieces, nearest_piece
 
 KEYS = "Year int, Round int, Session string"
 
@@ -43,3 +43,22 @@ def test_nearest_piece_equals_brute_force(spark):
     assert (rated.samples, rated.mean_distance, rated.rating) == (1, 0.0, "excellent")
     assert nearest_piece(frame.limit(0), pieces).collect() == []
     assert nearest_piece(frame, pieces.where("false")).where(F.col("line_distance").isNotNull()).count() == 0
+
+
+def test_cells_list_few_pieces_of_a_long_line(spark):
+    rng = np.random.default_rng(3)
+    line = [(float(10 * i), float(40 * math.sin(i / 9)), f"T{i // 20}") for i in range(300)]
+    points = [(2024, 1, "Q", i, x, y, c) for i, (x, y, c) in enumerate(line)]
+    pieces = line_pieces(spark.createDataFrame(points, KEYS + ", i int, X double, Y double, corner string"), ["i"])
+    samples = [(float(x), float(y)) for x, y in zip(rng.uniform(0, 3000, 200), rng.normal(0, 60, 200))] * 2
+    samples += [(5000.0, 9000.0), (-40.0, -700.0), (1000.0, 1000.0)]
+    cells = spark.createDataFrame([(2024, 1, "Q", int(x // 25), int(y // 25), x, y) for x, y in samples],
+                                  KEYS + ", _cx long, _cy long, X double, Y double")
+    bounds = cells.groupBy("Year", "Round", "Session", "_cx", "_cy").agg(
+        F.min("X").alias("_low_x"), F.max("X").alias("_high_x"), F.min("Y").alias("_low_y"), F.max("Y").alias("_high_y"))
+    lists = {(r._cx, r._cy): {p.piece for p in r._near}
+             for r in cell_lists(bounds, pieces, ["Year", "Round", "Session"], 100.0).collect()}
+    assert len(lists) == bounds.count()
+    for x, y in samples:
+        assert brute(x, y, line)[1] in lists[int(x // 25), int(y // 25)]
+    assert sum(map(len, lists.values())) < 20 * len(lists)
