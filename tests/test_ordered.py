@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lapforge.operators import clean as C
 from lapforge.operators.features import engineer_features
 from lapforge.operators.lookup import nearest_in_time
-from lapforge.operators.ordered import CELL, Timeline
+from lapforge.operators.ordered import CELL, Timeline, segment_lookups
 from lapforge.operators.quantiles import exact_percentiles
 from lapforge.operators.sampling import downsample, select_frames
 from lapforge.queries import views
@@ -175,3 +175,32 @@ def test_features_and_positions_on_the_layout_of_the_cleaning(spark):
         laid.by(["Driver"])
     with pytest.raises(ValueError):
         engineer_features(laid, order=["tie"])
+
+
+def test_lookups_grow_with_the_segments_and_not_with_the_rows(spark):
+    # times a second apart in nanoseconds, with a long gap: buckets of fixed width would hold few rows each
+    rows = spark.range(40000).selectExpr(
+        "cast(id % 2 as int) as k", "case when id < 20000 then id else id * 5 end * 400000000000 as t", "id")
+    lookups = segment_lookups(rows, ["k"], "t", 2000)
+    assert 0 < sum(table.count() for _, table in lookups) < 64 * 20
+    got = Timeline.of(rows, ["k"], ["t", "id"], 2000).positions().result()
+    want = Timeline.of(rows, ["k"], ["t", "id"]).positions().result()
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    tied = spark.range(9000).selectExpr("1 as k", "cast(null as bigint) as t", "id")
+    assert Timeline.of(tied, ["k"], ["t", "id"], 1000).positions().result().where("position = id").count() == 9000
+
+
+def test_nearest_with_equal_instants_at_the_borders(spark):
+    samples = spark.range(3000).selectExpr("1 as k", "id div 3 * 1000 as t", "id % 3 as tie", "id as v")
+    probes = spark.range(1200).selectExpr("1 as k", "case when id % 100 = 7 then null else id * 900 - 40000 end as p", "id")
+    for limit in (50, 1_000_000):
+        got = {r.id: (r.nearest_time, r.v) for r in nearest_in_time(probes, samples, ["k"], "p", "t", ["v"], ["tie"], limit).collect()}
+        assert len(got) == 1200
+        for i, found in got.items():
+            if i % 100 == 7:
+                assert found == (None, None)
+                continue
+            best = min(range(1000), key=lambda n: (abs(n * 1000 - (i * 900 - 40000)), n))
+            gap = abs(best * 1000 - (i * 900 - 40000))
+            # of two instants equally near the smaller tie counts, here 0 in both: any of them may be the answer
+            assert found[1] % 3 == 0 and abs(found[0] - (i * 900 - 40000)) == gap and found[1] == found[0] // 1000 * 3
