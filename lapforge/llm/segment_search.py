@@ -1,7 +1,7 @@
 """Hard negatives of labelled vectors, by bounds from segment means and deviations.
 
-A vector is cut into segments; of each segment its mean and its deviation (the length of what the mean leaves over)
-are stored. The inner product of two vectors lies within
+A vector is cut into segments; each segment has its mean and its deviation (the length of what the mean leaves over),
+computed where vectors meet. The inner product of two vectors lies within
 
     sum of (segment size * mean * mean')  -+  sum of (deviation * deviation')
 
@@ -11,7 +11,8 @@ refined: to finer segments, and in the end to the exact integer product.
 Rows with the same label and vector form a class; only its smallest ids can be among the first few, so a vector that
 occurs very often is compared once. Classes are dealt by a hash into blocks, anchors (the stated query set) too, and
 every block of anchors meets every block of rows: a cell holds a bounded number of both, whatever the labels. A cell
-returns its few best rows for each anchor, which are merged by shuffle.
+returns its few best rows for each anchor, which are merged by shuffle. Vectors travel as the bytes of the smallest integers
+that hold them (``packed``), and their segments do not travel: what a cell sorts and receives is little more than its vectors.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ SEGMENT, WIDER = 2, 4       # components of the finest segments, and how many ma
 LEVELS = 3
 ROW_BLOCK, ANCHOR_BLOCK = 2_048, 2_048
 CHUNK = 512                 # rows of a cell that are compared at once
+PAIRS = 16_384              # pairs whose vectors are gathered at once
 DENSE = 0.1                 # share of live pairs from which whole matrices are cheaper than pairs
+INTEGERS = (np.int16, np.int32, np.int64)
 LONG = (1 << 63) - 1
 
 
@@ -65,9 +68,9 @@ def levels(means: np.ndarray, deviations: np.ndarray, width: int) -> list[tuple[
 class Vectors:
     """Rows of a cell: integer vectors with the bounds of every level."""
 
-    def __init__(self, exact: np.ndarray, means: np.ndarray, deviations: np.ndarray):
+    def __init__(self, exact: np.ndarray):
         self.exact = exact
-        self.levels = levels(means, deviations, exact.shape[1])
+        self.levels = levels(*segments(exact.astype(float)), exact.shape[1])
         self.norm = float(np.sqrt((exact.astype(float) ** 2).sum(axis=1)).max(initial=0.0))
         self.top = float(np.abs(exact.astype(float)).max(initial=0.0))
 
@@ -97,10 +100,14 @@ def search(q: Vectors, r: Vectors, low: np.ndarray, high: np.ndarray, allowed: n
             a, b = np.nonzero(alive)
         if a is None:
             mid, wide = qm @ rm.T, qd @ rd.T
-            alive &= (mid + wide >= below[:, None]) & (mid - wide <= above[:, None])
+            alive &= mid + wide >= below[:, None]
+            alive &= np.subtract(mid, wide, out=mid) <= above[:, None]
         elif len(a):
-            mid, wide = (np.einsum("ij,ij->i", x[a], y[b]) for x, y in ((qm, rm), (qd, rd)))
-            keep = (mid + wide >= below[a]) & (mid - wide <= above[a])
+            keep = np.empty(len(a), bool)
+            for k in range(0, len(a), PAIRS):
+                i, j = a[k:k + PAIRS], b[k:k + PAIRS]
+                mid, wide = (np.einsum("ij,ij->i", x[i], y[j]) for x, y in ((qm, rm), (qd, rd)))
+                keep[k:k + PAIRS] = (mid + wide >= below[i]) & (mid - wide <= above[i])
             a, b = a[keep], b[keep]
     small = q.top * r.top * max(q.exact.shape[1], 1) < 2 ** 53
     if a is None and small and alive.mean() >= DENSE:
@@ -110,8 +117,8 @@ def search(q: Vectors, r: Vectors, low: np.ndarray, high: np.ndarray, allowed: n
         return a, b, product[a, b].astype(np.int64)
     if a is None:
         a, b = np.nonzero(alive)
-    score = np.concatenate([scores(q.exact[a[k:k + 65_536]], r.exact[b[k:k + 65_536]], small)
-                            for k in range(0, len(a), 65_536)] or [np.zeros(0, np.int64)])
+    score = np.concatenate([scores(q.exact[a[k:k + PAIRS]], r.exact[b[k:k + PAIRS]], small)
+                            for k in range(0, len(a), PAIRS)] or [np.zeros(0, np.int64)])
     keep = (score >= low[a]) & (score <= high[a])
     return a[keep], b[keep], score[keep]
 
@@ -129,8 +136,33 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(rows, len(flat) // rows if rows else 0)
 
 
+def packed_vectors(vectors: np.ndarray) -> list[bytes]:
+    """The bytes of each row, in the smallest of ``INTEGERS`` that holds it."""
+    out = [b""] * len(vectors)
+    if not vectors.size:
+        return out
+    low, high, left = vectors.min(axis=1), vectors.max(axis=1), np.ones(len(vectors), bool)
+    for kind in INTEGERS:
+        fits = left & (low >= np.iinfo(kind).min) & (high <= np.iinfo(kind).max)
+        for i, row in zip(np.flatnonzero(fits).tolist(), vectors[fits].astype(kind)):
+            out[i] = row.tobytes()
+        left &= ~fits
+    return out
+
+
+def unpacked_vectors(rows: list[bytes], width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width), np.int64)
+    if width:
+        sizes = np.array([len(r) for r in rows]) // width
+        for kind in INTEGERS:
+            of = np.flatnonzero(sizes == np.dtype(kind).itemsize)
+            if len(of):
+                out[of] = np.frombuffer(b"".join(rows[i] for i in of.tolist()), kind).reshape(len(of), width)
+    return out
+
+
 def _vectors(table: pa.Table, prefix: str = "") -> Vectors:
-    return Vectors(*[_matrix(table[prefix + c], table.num_rows) for c in ("vec", "means", "deviations")])
+    return Vectors(unpacked_vectors(table[prefix + "packed"].to_pylist(), table[prefix + "dim"][0].as_py()))
 
 
 def _first_ids(table: pa.Table) -> tuple[np.ndarray, list]:
@@ -139,8 +171,8 @@ def _first_ids(table: pa.Table) -> tuple[np.ndarray, list]:
 
 
 def vector_classes(rows: DataFrame, few: int) -> DataFrame:
-    """(cid, dim, label, vec, ids, means, deviations): one row per different (label, vec), with its ``few`` smallest
-    ids and the stored segments. ``rows`` (vec_id, label, vec) has distinct rows."""
+    """(cid, dim, label, vec, ids, packed): one row per different (label, vec), with its ``few`` smallest ids.
+    ``rows`` (vec_id, label, vec) has distinct rows."""
     w = Window.partitionBy("label", "vec").orderBy("vec_id")
     some = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= few)
     classes = some.groupBy("label", "vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
@@ -149,13 +181,11 @@ def vector_classes(rows: DataFrame, few: int) -> DataFrame:
         lengths = pa.compute.list_value_length(batch.column("vec")).to_numpy(zero_copy_only=False)
         for n in np.unique(lengths):
             part = batch.filter(pa.array(lengths == n))
-            vectors = _matrix(pa.chunked_array([part.column("vec")]), part.num_rows).astype(float)
-            means, deviations = segments(vectors)
+            vectors = _matrix(pa.chunked_array([part.column("vec")]), part.num_rows)
             yield {"label": part.column("label"), "vec": part.column("vec"), "ids": part.column("ids"),
-                   "means": list(means), "deviations": list(deviations)}
-    out = map_batches(classes, describe, "label bigint, vec array<bigint>, ids array<bigint>, means array<double>, "
-                      "deviations array<double>")
-    return cut_lineage(out.select(F.monotonically_increasing_id().alias("cid"), F.size("vec").alias("dim"), "*"), "segments")
+                   "packed": packed_vectors(vectors)}
+    out = map_batches(classes, describe, "label bigint, vec array<bigint>, ids array<bigint>, packed binary")
+    return cut_lineage(out.select(F.monotonically_increasing_id().alias("cid"), F.size("vec").alias("dim"), "*"), "classes")
 
 
 def _cells(classes: DataFrame, anchors: DataFrame, extra: list[str]) -> tuple:
@@ -164,11 +194,11 @@ def _cells(classes: DataFrame, anchors: DataFrame, extra: list[str]) -> tuple:
     grid = count(classes, ROW_BLOCK, "rblocks").join(count(anchors, ANCHOR_BLOCK, "ablocks"), "dim")
     sent = classes.join(grid, "dim").select(
         "dim", F.pmod(F.xxhash64("cid"), "rblocks").alias("rblock"),
-        F.explode(F.expr("sequence(0l, ablocks - 1)")).alias("ablock"), "cid", "label", "ids", "vec", "means", "deviations")
+        F.explode(F.expr("sequence(0l, ablocks - 1)")).alias("ablock"), "cid", "label", "ids", "packed")
     asked = anchors.join(grid, "dim").select(
         F.col("dim").alias("a_dim"), F.pmod(F.xxhash64(F.lit(1), "cid"), "ablocks").alias("a_ablock"),
         F.explode(F.expr("sequence(0l, rblocks - 1)")).alias("a_rblock"),
-        *[F.col(c).alias(f"a_{c}") for c in ("cid", "label", "vec", "means", "deviations", *extra)])
+        *[F.col(c).alias(f"a_{c}") for c in ("cid", "label", "packed", *extra)])
     return sent.groupBy("dim", "rblock", "ablock").cogroup(asked.groupBy("a_dim", "a_rblock", "a_ablock"))
 
 
